@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tessella.llm import substring_dedup
+from tessella.llm import decontamination, near_dup, packing, substring_dedup
 
 QUERIES = {
+    "op2_decontamination": decontamination.query,
+    "op3_near_dup": near_dup.query,
+    "op6_packing": packing.query,
     "op10_substring_dedup": substring_dedup.query,
 }
 

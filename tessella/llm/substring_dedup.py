@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.store import input_bytes, table
-from tessella.llm.text import Block, blocks
+from tessella.llm.text import Block, blocks, mix
 
 #: Bytes of text whose windows a task settles at once, and bytes of text for each bucket.
 SETTLED = 6 << 20
@@ -63,12 +63,14 @@ def _repeated(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.nda
     return first, (doc != doc[leader]) | (start != start[leader])
 
 
-def _by_document(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(doc, kind="stable")
-    doc, start = doc[order], start[order]
-    cuts = np.flatnonzero(np.diff(doc)) + 1
+def _parts(doc: np.ndarray, start: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Places packed by a hash of their document, ``2**bits`` parts at most."""
+    part = (mix(doc.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((doc, part))
+    part, doc, start = part[order], doc[order], start[order]
+    cuts = np.flatnonzero(np.diff(part)) + 1
     for low, high in zip(np.r_[0, cuts], np.r_[cuts, len(doc)], strict=True) if len(doc) else ():
-        yield int(doc[low]), start[low:high].astype(np.uint32)
+        yield int(part[low]), _pack(doc[low:high], start[low:high].astype(np.uint32))
 
 
 def _ids(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -77,7 +79,7 @@ def _ids(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, starts): the places of windows that occur earlier too; an id has a row for each bucket that found some."""
+    """(id, starts): for each id that has some, the places of windows that occur earlier too, packed."""
     bits = max(5, int(np.ceil(np.log2(max(1, input_bytes(docs, text_col) / BUCKET_BYTES)))))
     shift = np.uint64(64 - bits)
 
@@ -92,17 +94,17 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_
                 order = order[np.argsort(h[order], kind="stable")]
                 h, doc, start = h[order], doc[order], start[order]
                 first, again = _repeated(h, doc, start)
-                rows = [(int(d) & ((1 << bits) - 1), d, _pack(s)) for d, s in _by_document(doc[again], start[again])]
+                rows = [(part, True, packed) for part, packed in _parts(doc[again], start[again], bits)]
                 h, doc, start = h[first], doc[first], start[first]
                 bucket = (h >> shift).astype(np.int64)
                 cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                rows += [(b, None, _pack_windows(h[lo:hi], doc[lo:hi], start[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "id", "packed"])
+                rows += [(b, False, _pack_windows(h[lo:hi], doc[lo:hi], start[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "settled", "packed"])
 
     def gather(found: pa.Table) -> pa.Table:
-        ids, packed = found.column("id").to_pylist(), found.column("packed").to_pylist()
-        rows = [(i, p) for i, p in zip(ids, packed, strict=True) if i is not None]
-        lists = [_unpack_windows(p) for i, p in zip(ids, packed, strict=True) if i is None]
+        settled, packed = found.column("settled").to_pylist(), found.column("packed").to_pylist()
+        rows = [(found.column("bucket")[0].as_py(), p) for done, p in zip(settled, packed, strict=True) if done]
+        lists = [_unpack_windows(p) for done, p in zip(settled, packed, strict=True) if not done]
         if lists:
             h, doc, start = (np.concatenate(x) for x in zip(*lists, strict=True))
             del lists
@@ -116,11 +118,20 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_
             order = np.lexsort((start, doc, h))
             h, doc, start = h[order], doc[order], start[order]
             _, again = _repeated(h, doc, start)
-            rows += [(d, _pack(s)) for d, s in _by_document(doc[again], start[again])]
-        return pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "starts": pa.array([r[1] for r in rows], pa.binary())})
+            rows += _parts(doc[again], start[again], bits)
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "packed": pa.array([r[1] for r in rows], pa.binary())})
 
-    found = docs.select(id_col, text_col).mapInArrow(settle, "bucket long, id long, packed binary")
-    return found.groupBy("bucket").applyInArrow(gather, "id long, starts binary")
+    def by_document(found: pa.Table) -> pa.Table:
+        doc, start = (np.concatenate(x) for x in zip(*(_unpack(p.as_py(), np.int64, np.uint32) for p in found.column("packed")), strict=True))
+        order = np.argsort(doc, kind="stable")
+        doc, start = doc[order], start[order]
+        cuts = np.flatnonzero(np.diff(doc)) + 1
+        low, high = np.r_[0, cuts], np.r_[cuts, len(doc)]
+        return pa.table({"id": pa.array(doc[low]), "starts": pa.array([_pack(start[a:b]) for a, b in zip(low, high, strict=True)], pa.binary())})
+
+    found = docs.select(id_col, text_col).mapInArrow(settle, "bucket long, settled boolean, packed binary")
+    places = found.groupBy("bucket").applyInArrow(gather, "part long, packed binary")
+    return places.groupBy("part").applyInArrow(by_document, "id long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +147,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     Windows compare by a 64-bit hash, one for each place: among n windows, n * n / 2**65
     chance matches are to be expected (0.0005 in 10**8 windows).
     """
-    starts = repeated_windows(docs, window, id_col, text_col).groupBy("id").agg(F.collect_list("starts").alias("starts"))
+    starts = repeated_windows(docs, window, id_col, text_col)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("_key"))
     rows = rows.join(starts.withColumnRenamed("id", "_key"), "_key", "left").select("id", "text", "starts")
@@ -154,8 +165,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
 def _cut(block: Block, ids: pa.Array, places: pa.Array, window: int) -> pa.RecordBatch:
     edges = np.zeros(len(block.starts) + 1, np.int64)
     for i, found in enumerate(places.to_pylist()):
-        for packed in found or ():
-            at = block.first[i] + _unpack(packed, np.uint32)[0].astype(np.int64)
+        if found is not None:
+            at = block.first[i] + _unpack(found, np.uint32)[0].astype(np.int64)
             at = at[at + window <= block.first[i + 1]]
             np.add.at(edges, at, 1)
             np.add.at(edges, at + window, -1)
