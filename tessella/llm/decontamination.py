@@ -2,7 +2,7 @@
 
 The set of a window is its runs of ``SHINGLE`` words.  A document that contains the window
 contains all of them, so joining on one is enough: the prefix of a window is the one shingle
-that is rarest in the documents.  Shingles of documents pass a bit table of fixed size first,
+that is rarest in the documents.  Shingles of documents pass a bit table of bounded size first,
 then Spark joins what is left with the windows by shingle; length and positional bounds drop
 places where the window would stick out of the document, and the words themselves decide.
 """
@@ -16,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.bits import bits
 from tessella.llm.store import keep, table
 from tessella.llm.text import NOT_ALNUM, Block, blocks
 
 #: Words of a shingle; a window of fewer words is one shingle itself.
 SHINGLE = 4
-#: Bits of the table that document shingles are looked up in: 2 MiB to each executor, whatever the benchmark's size.
-TABLE_BITS = 24
 
 
 def _words(block: Block, low: int, high: int) -> str:
@@ -61,44 +60,21 @@ def _shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def _slots(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
-
-
-def bit_table(hashes: DataFrame) -> bytes:
-    """A table of ``2**TABLE_BITS`` bits with those of the column ``h`` set; tasks set parts of it, so the driver gets its size at most."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(1 << TABLE_BITS, bool)
-        for batch in batches:
-            found[_slots(batch.column(0).to_numpy(zero_copy_only=False))] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found), pa.int64())], ["slot"])
-
-    out = np.zeros(1 << TABLE_BITS, bool)
-    out[[r.slot for r in hashes.mapInArrow(mark, "slot long").distinct().toLocalIterator()]] = True
-    return np.packbits(out).tobytes()
-
-
-def _lookups(packed) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
-
-
 def _in_text(block: Block, h: np.ndarray, size: int) -> np.ndarray:
     """Which shingle starts have all their words in one text."""
     return np.arange(len(h)) + size <= np.repeat(block.first[1:], block.counts)[: len(h)]
 
 
-def shingle_counts(docs: DataFrame, sizes: list[int], bits, text_col: str) -> DataFrame:
+def shingle_counts(docs: DataFrame, sizes: list[int], wanted, text_col: str) -> DataFrame:
     """(h, n): in how many places of ``docs`` each shingle stands that may be an item's; blocks add up their own first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _lookups(bits.value)
         for batch in batches:
             for _, _, block in blocks(batch, text_col, lower=True, separators=NOT_ALNUM):
                 hashes, found = block.hashes(), []
                 for size in sizes:
                     h = _shingles(hashes, size)
-                    hit = wanted[_slots(h)]
+                    hit = wanted.value.has(h)
                     found.append(h[hit & _in_text(block, h, size)])
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n, pa.int64())], ["h", "n"])
@@ -122,15 +98,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     sizes = sorted({min(SHINGLE, r.size) for r in windows.select("size").distinct().collect()})  # at most ``window`` rows
     context = docs.sparkSession.sparkContext
     shingles = windows.select("text", "size", "items", F.posexplode("shingles").alias("at", "h"))
-    counts = shingle_counts(docs, sizes, context.broadcast(bit_table(shingles.select("h"))), text_col)
+    counts = shingle_counts(docs, sizes, context.broadcast(bits(shingles.select("h"), shingles.count())), text_col)
     # The rarest shingle of each window is its prefix.
     ranked = shingles.join(counts, "h").groupBy("text").agg(F.min(F.struct("n", "at", "h")).alias("x"), F.first("size").alias("size"), F.first("items").alias("items"), F.count(F.lit(1)).alias("seen"))
     complete = F.col("seen") == F.col("size") - F.least("size", F.lit(SHINGLE)) + 1  # a shingle that no document has rules its window out
     prefixes = keep(ranked.where(complete).select("text", "size", "items", F.col("x.at").alias("at"), F.col("x.h").alias("h")), "prefixes")
-    bits = context.broadcast(bit_table(prefixes.select("h")))
+    wanted = context.broadcast(bits(prefixes.select("h"), prefixes.count()))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _lookups(bits.value)
         for batch in batches:
             for low, high, block in blocks(batch, "text", lower=True, separators=NOT_ALNUM):
                 hashes = block.hashes()
@@ -139,7 +114,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
                 owner = block.owners()
                 for size in sizes:
                     x = _shingles(hashes, size)
-                    found = np.flatnonzero(wanted[_slots(x)] & _in_text(block, x, size)) if len(x) else np.zeros(0, np.int64)
+                    found = np.flatnonzero(wanted.value.has(x) & _in_text(block, x, size)) if len(x) else np.zeros(0, np.int64)
                     a = np.maximum(block.first[owner[found]], found - (window - size))
                     b = np.minimum(block.first[owner[found] + 1], found + window)
                     row.append(low + owner[found])

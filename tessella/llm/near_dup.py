@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.bits import MOST, bits
 from tessella.llm.store import keep, table
 from tessella.llm.text import Block, blocks, spans_hash
 
@@ -97,16 +98,29 @@ def sketches(docs: DataFrame, words: int, k: int, id_col: str, text_col: str) ->
     return docs.select(id_col, text_col).mapInArrow(sketch, f"id {kind}, n long, fp binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, set): the whole set of each row, as sorted 64-bit hashes."""
+def full_sets(docs: DataFrame, nodes: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, set): the whole set, as sorted 64-bit hashes, of each row whose id is one of ``nodes`` (node).
+
+    Tasks leave out what a bit table of the nodes rules out, so that texts are not shuffled;
+    too many nodes for the largest table are joined instead.
+    """
+    nodes = nodes.select(F.col("node").alias("id")).distinct()
+    count = nodes.count()
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("key"))
+    if count > 1 << (MOST - 2):
+        docs, wanted = docs.join(nodes, "id", "left_semi"), None
+    else:
+        wanted = docs.sparkSession.sparkContext.broadcast(bits(nodes.select(F.xxhash64("id")), count))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, block in blocks(batch, text_col, lower=True):
+            if wanted is not None:
+                batch = batch.filter(pa.array(wanted.value.has(batch.column(2).to_numpy(zero_copy_only=False))))
+            for low, high, block in blocks(batch, "text", lower=True):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low:high], pa.array([v.tobytes() for v in shingle_sets(block, words)], pa.binary())], ["id", "set"])
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(sets, f"id {kind}, set binary")
+    kind = dict(docs.dtypes)["id"]
+    return docs.mapInArrow(sets, f"id {kind}, set binary").join(nodes, "id", "left_semi")
 
 
 def index(classes: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -255,8 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.75, k:
     listed = keep(index(classes, k, threshold), "lists")
     leaders = listed.groupBy("v").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("v", "leader")
     groups = keep(listed.join(leaders, "v").select("leader", "node").distinct(), "groups")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = keep(full_sets(source.join(groups.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), words, "id", "text"), "sets")
+    sets = keep(full_sets(docs, groups, words, id_col, text_col), "sets")
     pairs = groups.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     best = estimated(pairs, classes, k, threshold).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
     links = keep(verified(best, sets, threshold), "links")
