@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bits import bits
-from tessella.llm.store import keep, table
+from tessella.llm.store import keep, sized, table
 from tessella.llm.text import _BYTE, SPACE, blocks, spans_hash
 
 KINDS = ("email", "ip", "card", "phone")
@@ -26,6 +26,8 @@ KINDS = ("email", "ip", "card", "phone")
 SUPPORT = 5
 CONFIDENCE = 0.8
 ROUNDS = 3
+#: Documents with identifiers whose places may be broadcast for redaction; more are joined by shuffling.
+FEW_SPANS = 1 << 17
 
 # The fixed forms.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -207,7 +209,7 @@ def _joined(spans: str) -> Column:
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each identifier of its texts replaced by its kind in angle brackets; overlapping ones as one, named after the first."""
     found = find(docs.select(id_col, text_col), id_col, text_col).where(F.size("spans") > 0).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("spans").alias("_spans"))
-    out = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    out = docs.join(sized(keep(found, "redactions"), FEW_SPANS), F.col(id_col).eqNullSafe(F.col("_id")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

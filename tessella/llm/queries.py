@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontamination, html_extraction, language_id, lm_score, near_dup, packing, pii, quality, substring_dedup
+from tessella.llm import decontamination, html_extraction, language_id, license_scan, lm_score, near_dup, packing, pii, quality, substring_dedup
 
 QUERIES = {
     "op1_html_extraction": html_extraction.query,
     "op2_decontamination": decontamination.query,
     "op3_near_dup": near_dup.query,
     "op4_pii": pii.query,
+    "op5_license_scan": license_scan.query,
     "op6_packing": packing.query,
     "op7_quality": quality.query,
     "op8_language_id": language_id.query,

@@ -28,6 +28,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a few narrow columns that may be broadcast: some tens of MB.
+FEW = 1 << 20
+
+
+def sized(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows; beyond that Spark joins it by shuffling.
+
+    For narrow tables that cost little to make, or are written already.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def input_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, to size buckets by; one pass that reads that column alone."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
