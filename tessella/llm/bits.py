@@ -47,5 +47,5 @@ def bits(hashes: DataFrame, count: int) -> Bits:
 
     out = np.zeros(1 << size, bool)
     for r in hashes.mapInArrow(mark, "part long, at binary").toLocalIterator():
-        out[(r.part << 13) + np.frombuffer(r.at, np.uint16)] = True
+        out[(r.part << 13) + np.frombuffer(r.at, np.uint16).astype(np.int64)] = True
     return Bits(size, np.packbits(out).tobytes())
