@@ -42,7 +42,7 @@ def bits(hashes: DataFrame, count: int) -> Bits:
         at = np.flatnonzero(found)
         # Bits of a part of the table in one row.
         part, first = np.unique(at >> 13, return_index=True)
-        rows = [(at[a:b] & 8191).astype(np.uint16).tobytes() for a, b in zip(first, np.r_[first[1:], len(at)], strict=True)]
+        rows = [(at[a:b] & 8191).astype(np.uint16).tobytes() for a, b in zip(first, np.r_[first[1:], len(at)][: len(first)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(rows, pa.binary())], ["part", "at"])
 
     out = np.zeros(1 << size, bool)

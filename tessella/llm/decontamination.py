@@ -71,7 +71,7 @@ def shingle_counts(docs: DataFrame, sizes: list[int], wanted, text_col: str) ->
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, block in blocks(batch, text_col, lower=True, separators=NOT_ALNUM):
-                hashes, found = block.hashes(), []
+                hashes, found = block.hashes(), [np.zeros(0, np.int64)]
                 for size in sizes:
                     h = _shingles(hashes, size)
                     hit = wanted.value.has(h)

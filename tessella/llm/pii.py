@@ -208,23 +208,26 @@ def _joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each identifier of its texts replaced by its kind in angle brackets; overlapping ones as one, named after the first."""
-    found = find(docs.select(id_col, text_col), id_col, text_col).where(F.size("spans") > 0).groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("spans").alias("_spans"))
-    out = docs.join(sized(keep(found, "redactions"), FEW_SPANS), F.col(id_col).eqNullSafe(F.col("_id")), "left")
+    # Names that no column of the table has.
+    own = "_" * (1 + max(map(len, docs.columns)))
+    key, spans = f"{own}id", f"{own}spans"
+    found = find(docs.select(id_col, text_col), id_col, text_col).where(F.size("spans") > 0).groupBy(F.col(id_col).alias(key)).agg(F.collect_set("spans").alias(spans))
+    out = docs.join(sized(keep(found, "redactions"), FEW_SPANS), F.col(id_col).eqNullSafe(F.col(key)), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
-            for i, choices in enumerate(batch.column(batch.schema.get_field_index("_spans")).to_pylist()):
+            for i, choices in enumerate(batch.column(batch.schema.get_field_index(spans)).to_pylist()):
                 # Rows that share an id have their own spans, told apart by the fixed forms in the text.
                 if choices and texts[i]:
                     base = {(s, e, k) for s, e, k in base_spans(texts[i])}
                     fit = [c for c in choices if base <= {(x["start"], x["end"], x["kind"]) for x in c} and all(x["end"] <= len(texts[i]) for x in c)]
                     texts[i] = _replace(texts[i], [(x["start"], x["end"], x["kind"]) for x in min(fit, key=len)] if fit else sorted(base))
-            columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(batch.schema)) if batch.schema.names[k] not in ("_id", "_spans")]
-            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n not in ("_id", "_spans")])
+            columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(batch.schema)) if batch.schema.names[k] != spans]
+            yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != spans])
 
-    return out.select(*docs.columns, "_spans").mapInArrow(cut, docs.schema)
+    return out.select(*docs.columns, spans).mapInArrow(cut, docs.schema)
 
 
 def _replace(text: str, spans: list[tuple[int, int, str]]) -> str:
