@@ -11,25 +11,25 @@ from pyspark.sql import functions as F
 
 from tessella.functions.cell import NUM, VALUE, Cell, cell, function, number, raised
 
-_ZERO = F.lit("1899-12-30")
+_ZERO = "1899-12-30"
 
 
 def day(x: Column) -> Column:
     """The date of a date, a timestamp or a serial."""
     kind = F.typeof(x)
-    return F.when(kind.isin("date", "timestamp", "timestamp_ntz", "string"), x.try_cast("string").try_cast("date")).otherwise(F.date_add(F.to_date(_ZERO), F.floor(x.try_cast("string").try_cast("double")).cast("int")))
+    return F.when(kind.isin("date", "timestamp", "timestamp_ntz", "string"), x.try_cast("string").try_cast("date")).otherwise(F.date_add(F.to_date(F.lit(_ZERO)), F.floor(x.try_cast("string").try_cast("double")).cast("int")))
 
 
 def moment(x: Column) -> Column:
     """The timestamp of a date, a timestamp or a serial, to the second."""
     kind = F.typeof(x)
     n = x.try_cast("string").try_cast("double")
-    at = F.to_timestamp(F.date_add(F.to_date(_ZERO), F.floor(n).cast("int"))) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.round((n - F.floor(n)) * 86400, 0).cast("decimal(18,6)"))
+    at = F.to_timestamp(F.date_add(F.to_date(F.lit(_ZERO)), F.floor(n).cast("int"))) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.round((n - F.floor(n)) * 86400, 0).cast("decimal(18,6)"))
     return F.when(kind.isin("date", "timestamp", "timestamp_ntz", "string"), x.try_cast("string").try_cast("timestamp")).otherwise(at)
 
 
 def serial(d: Column) -> Column:
-    return F.datediff(d, F.to_date(_ZERO)).cast("double")
+    return F.datediff(d, F.to_date(F.lit(_ZERO))).cast("double")
 
 
 def _part(name: str, value, of=day) -> None:

@@ -113,7 +113,7 @@ def vectorised(f: Callable[..., float], kind: str = "double"):
     def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
         def one(*args):
             try:
-                if any(a is None or a != a for a in args):
+                if any(a is None or (isinstance(a, float) and a != a) for a in args):
                     return None
                 out = f(*args)
                 return out if not isinstance(out, float) or math.isfinite(out) else None
