@@ -25,7 +25,7 @@ from tessella.llm.store import keep, table
 #: Entries of a task's cache of encoded words.
 CACHED = 600_000
 #: Pieces that are ranked in one group, about.
-RANKED = 20_000
+RANKED = 4_000
 _ODD = re.compile(r" \s|[\x1c-\x1f\x85]")
 
 
