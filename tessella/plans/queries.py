@@ -309,6 +309,14 @@ def engineering_functions(spark, d):
     return table(spark, d, "events").where("user_id < 500").select("event_id", *(c.value.alias(k) for k, c in made.items()), r2(call("CONVERT", F.col("value"), "mi", "km").value, 9).alias("miles"))
 
 
+@query("""SELECT event_id, CASE WHEN user_id BETWEEN -512 AND 511 THEN bin(user_id) END dec2bin, CASE WHEN user_id NOT BETWEEN -512 AND 511 THEN '#NUM!' END dec2bin_error, upper(to_hex(user_id)) dec2hex, (user_id & 6)::DOUBLE bitand_, xor(user_id, 5)::DOUBLE bitxor_, (user_id * 4)::DOUBLE lshift, round(value * 1.609344, 9) miles FROM events""")
+def engineering_functions_all(spark, d):
+    """``engineering_functions`` of every event; where DEC2BIN is not defined its value is null, and its error has a column."""
+    u, binary = F.col("user_id"), call("DEC2BIN", F.col("user_id"))
+    made = {"dec2bin": binary, "dec2hex": call("DEC2HEX", u), "bitand_": call("BITAND", u, 6), "bitxor_": call("BITXOR", u, 5), "lshift": call("BITLSHIFT", u, 2)}
+    return table(spark, d, "events").select("event_id", *(c.value.alias(k) for k, c in made.items()), binary.error.alias("dec2bin_error"), r2(call("CONVERT", F.col("value"), "mi", "km").value, 9).alias("miles"))
+
+
 @query("""SELECT o_orderkey, round(-(o_totalprice * power(1.005, 60)) * 0.005 / (power(1.005, 60) - 1), 6) pmt, round(-o_totalprice * power(1.01, 12), 4) fv, round((o_totalprice - 100) / 5, 6) sln, round((o_totalprice - 100) * (5 - 2 + 1) * 2 / 30, 6) syd, round(power(1 + 0.06 / 12, 12) - 1, 9) effect, round(o_totalprice / 1.1 + 100 / power(1.1, 2), 6) npv FROM orders""")
 def financial_functions(spark, d):
     p = F.col("o_totalprice")

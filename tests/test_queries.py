@@ -42,3 +42,14 @@ def test_query(spark, duck, name):
     assert {c: TYPES.get(k, k) for c, k in df.dtypes} == kinds
     rows = sorted((tuple(plain(dict(zip(expected.columns, r, strict=True))[c]) for c in columns) for r in expected.fetchall()), key=str)
     assert got == rows
+
+
+def test_engineering_functions_of_ids_beyond_dec2bin(spark, duck, tmp_path):
+    ids = [0, 499, 500, 511, 512, 1499]
+    duck.sql(f"copy (select user_id event_id, user_id, 1.5::DOUBLE \"value\" from unnest({ids}::BIGINT[]) t(user_id)) to '{tmp_path}/events.parquet'")
+    got = {r.event_id: r for r in registry.QUERIES["engineering_functions_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(ids)
+    sql = registry.ORACLE_SQL["engineering_functions_all"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")
+    found = duck.sql(sql)
+    assert all(plain(got[r[0]][c]) == plain(v) for r in found.fetchall() for c, v in zip(found.columns, r, strict=True))
+    assert sorted((r.dec2bin_error, r.dec2bin, r.dec2hex) for r in got.values() if r.dec2bin is None) == [("#NUM!", None, "200"), ("#NUM!", None, "5DB")]
