@@ -120,6 +120,11 @@ _SPAN = "array<struct<start:long,end:long,kind:string>>"
 _FOUND = "array<struct<start:long,end:long,kind:string,seed:boolean,value:string,h:long,size:int>>"
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Hash of a row's id and text; a null has a value of its own, so neither stands for the other."""
+    return F.xxhash64(id_col, F.col(id_col).isNull(), text_col)
+
+
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, base, found): fixed forms of each row, and with each pattern before it every fixed or loose form."""
 
@@ -145,8 +150,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[low : low + 512], batch.column(2)[low : low + 512], pa.array(base, pa.list_(span)), pa.array(found, pa.list_(more))], ["id", "key", "base", "found"])
 
     kind = dict(docs.dtypes)[id_col]
-    key = F.xxhash64(id_col, text_col)
-    return docs.select(id_col, text_col, key.alias("key")).mapInArrow(scan, f"id {kind}, key long, base {_SPAN}, found {_FOUND}")
+    return docs.select(id_col, text_col, row_key(id_col, text_col).alias("key")).mapInArrow(scan, f"id {kind}, key long, base {_SPAN}, found {_FOUND}")
 
 
 def pattern_totals(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
@@ -192,6 +196,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     ``KINDS``.  A null or empty text has none.  Each row has its own result, so rows may share
     an id or have none; equal rows have equal results.
     """
+    return keyed(docs, id_col, text_col, rounds, support, confidence).select(F.col("id").alias(id_col), "base", "spans")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """(id, key, base, spans) as in ``find``; the key is the hash of a row's id and text."""
     found = keep(occurrences(docs, id_col, text_col), "occurrences")
     patterns = confident_patterns(docs, found, text_col, rounds, support, confidence)
     loose = found.select("key", F.explode("found").alias("x")).where("not x.seed").select("key", "x.*")
@@ -199,7 +208,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     order = F.array(*map(F.lit, KINDS))
     rank = lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
     spans = F.transform(F.sort_array(F.transform(F.concat("base", F.coalesce("extra", F.array().cast(_SPAN))), rank)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    return found.join(extra, "key", "left").select(F.col("id").alias(id_col), "base", spans.alias("spans"))
+    return found.join(extra, "key", "left").select("id", "key", "base", spans.alias("spans"))
 
 
 def _joined(spans: str) -> Column:
@@ -210,20 +219,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``docs`` with each identifier of its texts replaced by its kind in angle brackets; overlapping ones as one, named after the first."""
     # Names that no column of the table has.
     own = "_" * (1 + max(map(len, docs.columns)))
-    key, spans = f"{own}id", f"{own}spans"
-    found = find(docs.select(id_col, text_col), id_col, text_col).where(F.size("spans") > 0).groupBy(F.col(id_col).alias(key)).agg(F.collect_set("spans").alias(spans))
-    out = docs.join(sized(keep(found, "redactions"), FEW_SPANS), F.col(id_col).eqNullSafe(F.col(key)), "left")
+    key, spans = f"{own}key", f"{own}spans"
+    # Rows of one key share id and text, so one row's spans are those of all.
+    found = keyed(docs.select(id_col, text_col), id_col, text_col).where(F.size("spans") > 0).groupBy(F.col("key").alias(key)).agg(F.first("spans").alias(spans))
+    out = docs.join(sized(keep(found, "redactions"), FEW_SPANS), row_key(id_col, text_col) == F.col(key), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
-            for i, choices in enumerate(batch.column(batch.schema.get_field_index(spans)).to_pylist()):
-                # Rows that share an id have their own spans, told apart by the fixed forms in the text.
-                if choices and texts[i]:
-                    base = {(s, e, k) for s, e, k in base_spans(texts[i])}
-                    fit = [c for c in choices if base <= {(x["start"], x["end"], x["kind"]) for x in c} and all(x["end"] <= len(texts[i]) for x in c)]
-                    texts[i] = _replace(texts[i], [(x["start"], x["end"], x["kind"]) for x in min(fit, key=len)] if fit else sorted(base))
+            for i, found in enumerate(batch.column(batch.schema.get_field_index(spans)).to_pylist()):
+                if found:
+                    texts[i] = _replace(texts[i], [(x["start"], x["end"], x["kind"]) for x in found])
             columns = [pa.array(texts, batch.column(at).type) if k == at else batch.column(k) for k in range(len(batch.schema)) if batch.schema.names[k] != spans]
             yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n != spans])
 

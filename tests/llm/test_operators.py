@@ -192,6 +192,17 @@ def test_pii_patterns_find_unseen_forms(spark):
     assert "Telephone: <PHONE> and" in out[0] and "Telephone: <PHONE> and" in out[99] and out[100] == rows[-1][1]
 
 
+def test_redaction_of_rows_that_share_an_id(spark):
+    texts = ["mail to a.b@c.org or to x.y@z.com now, and more words", "clean words that are long enough to hold all places of the others", None, "", "no mail here"]
+    seeds = [(i, f"something here. Telephone: +1 (743) 555-{1000 + i} and more words follow the number") for i in range(30)]
+    loose = ["same a@b.org start. Telephone: (212) 555-0199 and more", "same a@b.org start. Elephants: (212) 555-0199 and more"]
+    rows = [(i, t) for i in (None, 7) for t in texts + texts[:1]] + seeds + [(i, t) for i in (None, 8) for t in loose]
+    dirty = {texts[0]: "mail to <EMAIL> or to <EMAIL> now, and more words", loose[0]: "same <EMAIL> start. Telephone: <PHONE> and more", loose[1]: "same <EMAIL> start. Elephants: (212) 555-0199 and more"}
+    expected = collections.Counter((i, dirty.get(t, t)) for i, t in rows if (i, t) not in seeds)
+    got = collections.Counter((r.doc_id, r.text) for r in pii.redact(frame(spark, rows)).collect() if r.doc_id is None or (r.doc_id in (7, 8) and not (r.text or "").startswith("something")))
+    assert got == expected
+
+
 def test_packing(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(docs, path, size=64).collect()
