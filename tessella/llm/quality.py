@@ -1,15 +1,21 @@
-"""Quality rules for texts, in DataFrame functions alone.
-
-Every document gets plain counts and the mean log-likelihood ratio of its hashed words under
-two multinomials: one of trusted documents, one of the whole corpus.  Both are counted over
-all documents into ``BUCKETS`` buckets, so the table of ratios has that size at any scale.
+"""Quality rules for texts.
+
+Every document gets plain counts and the mean log-likelihood ratio of its hashed words and
+pairs of words under two multinomials: one of trusted documents, one of the whole corpus.
+Both are counted over all documents into ``BUCKETS`` buckets, so the table of ratios has that
+size at any scale.  How low a document may score follows from the trusted documents: each is
+scored as if it were not trusted, and a quantile of these scores is the least score, by
+language and length.
 """
 
 from __future__ import annotations
 
-import math
+import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.store import keep, sized, table
@@ -20,10 +26,14 @@ BUCKETS = 1 << 18
 NGRAMS = (1,)
 #: Weight of the corpus's own rate in the trusted rate, as a count: a bucket needs about so many expected words to say much.
 PRIOR = 10.0
-#: A document may fall so far below the mean ratio of trusted words.
-MARGIN = 0.05
-#: Ratios are stored in hundredths.
-SCALE = 100
+#: The least score is this quantile of the trusted documents' scores, each without its own words.
+QUANTILE = 0.01
+#: A language, or a length in it, has a least score of its own from so many trusted documents on.
+ENOUGH = 200
+#: Documents of fewer words fail the base rules, so they do not count for the quantile.
+LEAST_WORDS = 50
+#: Ratios and least scores are stored in thousandths.
+SCALE = 1000
 
 _SPACE = " \t\n\x0b\f\r"
 _SPACES = "[ \t\n\x0b\f\r]+"
@@ -34,66 +44,125 @@ def _words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, _SPACES)).otherwise(F.array().cast("array<string>"))
 
 
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def _buckets(hashes: Column) -> list[Column]:
-    """For each n of ``NGRAMS``, the bucket of the n-gram that begins at each word (null past the end)."""
-    out = []
-    for n in NGRAMS:
-        gram = (lambda x, i, n=n: F.pmod(F.xxhash64(x, *(F.get(hashes, i + j) for j in range(1, n))), F.lit(BUCKETS)).cast("int")) if n > 1 else (lambda x, i: F.pmod(x, F.lit(BUCKETS)).cast("int"))
-        out.append(F.slice(F.transform(hashes, gram), F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0))))
+    """For each n of ``NGRAMS``, the buckets of the n-grams in order, from the hashes of words."""
+    out, gram = [], hashes
+    for n in range(1, max(NGRAMS) + 1):
+        if n > 1:
+            rest = F.slice(hashes, F.lit(n), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+            gram = F.zip_with(F.slice(gram, F.lit(1), F.size(rest)), rest, lambda a, b: F.xxhash64(a, b))
+        if n in NGRAMS:
+            out.append(F.transform(gram, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")))
     return out
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str) -> tuple[list[int], float]:
-    """(log-likelihood ratio of each bucket, in 1 / SCALE; its mean over trusted words, each left out of its own ratio)."""
-    marks = keep(trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("good", F.lit(1)), "trusted")
-    words = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(sized(marks), "id", "left")
-    if NGRAMS == (1,):
-        grams = words.select("good", F.explode(_words(F.col("text"))).alias("w")).select("good", F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b"))
-    else:
-        hashed = words.select("good", F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
-        grams = hashed.select("good", F.explode(F.concat(*_buckets(F.col("h")))).alias("b"))
+class Ratios:
+    """Counts of each bucket in all documents and in trusted ones, and the log-likelihood ratios, in 1 / SCALE."""
+
+    def __init__(self, raw: np.ndarray, good: np.ndarray) -> None:
+        self.raw, self.good, self.n_raw, self.n_good = raw, good, int(raw.sum()), int(good.sum())
+        self.table = self.of(np.arange(BUCKETS)).tolist() if self.n_good else [0] * BUCKETS
+
+    def of(self, buckets: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
+        """Ratios of some buckets, where ``own`` of their trusted words count as words of no trusted document."""
+        share = (self.n_good - int(np.sum(own))) / max(1, self.n_raw)
+        return np.rint(SCALE * np.log((self.good[buckets] - own + PRIOR) / (self.raw[buckets] * share + PRIOR))).astype(np.int64)
+
+    def held_out(self, grams: np.ndarray) -> float:
+        """The score of a trusted document as if it were not trusted."""
+        buckets, own = np.unique(grams, return_counts=True)
+        return float(own @ self.of(buckets, own)) / SCALE / len(grams)
+
+
+def ratio_table(marked: DataFrame) -> Ratios:
+    """Counts over ``marked`` (good, text); ``good`` is null for rows that are not trusted."""
+    hashed = marked.select("good", _hashes(_words(F.col("text"))).alias("h"))
+    grams = hashed.select("good", F.explode(F.concat(*_buckets(F.col("h")))).alias("b"))
     rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")).collect()  # BUCKETS rows at most
-    raw, good = sum(r.raw for r in rows), sum(r.good for r in rows)
-    out, mean = [0] * BUCKETS, 0.0
-    for r in rows if good else ():
-        ratio = math.log((r.good + PRIOR) / (r.raw * good / raw + PRIOR))
-        out[r.b] = round(SCALE * ratio)
-        if r.good:  # a word's own occurrence does not count for it
-            mean += r.good / good * math.log((r.good - 1 + PRIOR) / (r.raw * good / raw + PRIOR))
-    return out, mean
+    raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for r in rows:
+        raw[r.b], good[r.b] = r.raw, r.good
+    return Ratios(raw, good)
+
+
+def _band(n_words: Column) -> Column:
+    """Lengths from one power of two to the next."""
+    return (F.length(F.bin(n_words)) - 1).cast("int")
 
 
-def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", margin: float = MARGIN) -> DataFrame:
+def least_scores(marked: DataFrame, ratios: Ratios, quantile: float) -> dict[tuple[str | None, int | None], float]:
+    """By language and length band, by language (band null), and of all (both null): the quantile of held-out scores.
+
+    ``marked`` has (good, text, lang).  At most that share of a group's trusted documents is below its least score.
+    """
+    shared = marked.sparkSession.sparkContext.broadcast(ratios)
+
+    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(2)
+            found = [int(np.floor(SCALE * shared.value.held_out(grams[i].values.to_numpy(zero_copy_only=False)))) for i in range(len(batch))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], ["lang", "band", "score"])
+
+    hashed = marked.where("good is not null").select("lang", _hashes(_words(F.col("text"))).alias("h"))
+    long = hashed.where(F.size("h") >= LEAST_WORDS).select("lang", _band(F.size("h")).alias("band"), F.concat(*_buckets(F.col("h"))).alias("grams"))
+    counts = long.mapInArrow(held_out, "lang string, band int, score int").groupBy("lang", "band", "score").agg(F.count(F.lit(1)).alias("n"))
+    key = lambda lang, band: F.struct(F.lit(lang).cast("string").alias("lang") if lang is None else F.col(lang).alias("lang"), F.lit(band).cast("int").alias("band") if band is None else F.col(band).alias("band"))
+    # Rows without a language count for all alone.
+    keys = F.when(F.col("lang").isNull(), F.array(key(None, None))).otherwise(F.array(key(None, None), key("lang", None), key("lang", "band")))
+    every = keep(counts.select(F.explode(keys).alias("key"), "score", "n").groupBy("key", "score").agg(F.sum("n").alias("n")), "held_out")
+    # Windows are over scores in thousandths, not over documents.
+    by = Window.partitionBy("key")
+    placed = every.withColumn("upto", F.sum("n").over(by.orderBy("score"))).withColumn("all", F.sum("n").over(by))
+    first = placed.where(F.col("upto") > quantile * F.col("all")).groupBy("key", "all").agg(F.min("score").alias("score"))
+    return {(r.key.lang, r.key.band): r.score / SCALE for r in first.where((F.col("all") >= ENOUGH) | F.col("key.lang").isNull()).collect()}
+
+
+def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE) -> DataFrame:
     """``docs`` in a column ``row``, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept.
 
     ``trusted`` has the ids of trusted documents.  Words are runs of anything but ASCII white
-    space; a null text has none.  ``llr`` is the mean log ratio of a document's words, 0 without
-    words.  A document is kept unless the base rules fail it or ``llr`` is more than ``margin``
-    below its mean over trusted words.  Without trusted documents every ratio is 0, and the
-    base rules decide.  Each row has its own result, so rows may share an id or have none.
+    space; a null text has none.  ``llr`` is the mean log ratio of a document's words and pairs
+    of words, 0 without words.  A document is kept unless the base rules fail it or ``llr`` is
+    below the least score of its language and length; where too few trusted documents are of
+    these, that of its language counts, and then that of all, as for tables without
+    ``lang_col``.  Without trusted documents every ratio is 0, and the base rules decide.  Each
+    row has its own result, so rows may share an id or have none.
     """
-    ratios, mean = ratio_table(docs, trusted, id_col, text_col)
-    # One foldable literal: the optimiser parses it once.
-    lookup = F.from_json(F.lit(str(ratios).replace(" ", "")), "array<int>")
-    t = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
-    t = t.select("row", "text", _words(F.col("text")).alias("words"))
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    marks = keep(trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("good", F.lit(1)), "trusted")
+    marked = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), lang.alias("lang")).join(sized(marks), "id", "left")
+    ratios = ratio_table(marked)
+    least = least_scores(marked, ratios, quantile) if ratios.n_good else {}
+    # One foldable literal each: the optimiser parses it once.
+    lookup = F.from_json(F.lit(str(ratios.table).replace(" ", "")), "array<int>")
+    known = F.from_json(F.lit(json.dumps({f"{g}/{'' if n is None else n}": x for (g, n), x in least.items() if g is not None})), "map<string,double>")
+    band = _band(F.col("n_words"))
+    lowest = F.coalesce(F.try_element_at(known, F.concat("lang", F.lit("/"), band)), F.try_element_at(known, F.concat("lang", F.lit("/"))), F.lit(least.get((None, None), float("-inf"))))
+    t = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), lang.alias("lang"), F.coalesce(text_col, F.lit("")).alias("text"))
+    t = t.select("row", "lang", "text", _words(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(_SPACE))) > 0)
     t = t.select(
         "row",
+        "lang",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
+        _hashes(F.col("words")).alias("h"),
     )
     triples = F.slice(F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))), F.lit(1), F.greatest(F.size("h") - 2, F.lit(0)))
-    total = F.lit(0.0)
-    for b in _buckets(F.col("h")):
-        total = total + F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + F.get(lookup, x)) / F.lit(float(SCALE))
+    total, grams = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for n, b in zip(NGRAMS, _buckets(F.col("h")), strict=True):
+        total = total + F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + F.get(lookup, x))
+        grams = grams + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
     t = t.select(
-        *("row", "n_words", "word_chars", "n_symbols"),
+        *("row", "lang", "n_words", "word_chars", "n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(total / F.when(F.col("n_words") > 0, F.col("n_words") * len(NGRAMS)), F.lit(0.0)).alias("llr"),
+        F.coalesce(total / F.lit(float(SCALE)) / F.when(F.col("n_words") > 0, grams), F.lit(0.0)).alias("llr"),
         triples.alias("triples"),
     )
     # Only texts with a repeated window are sorted: equal windows are then neighbours.
@@ -109,9 +178,9 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
         lambda s: s["n"],
     )
     t = t.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     t = t.withColumn("base_failed", failed)
-    return t.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", (~failed & (F.col("llr") >= mean - margin)).alias("kept"))
+    return t.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", (~failed & (F.col("llr") >= lowest)).alias("kept"))
 
 
 def kept_rows(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -130,5 +199,5 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = score(table(spark, sf_dir, "documents").select("doc_id", "text"), trusted(table(spark, sf_dir, "labels")))
+    found = score(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), trusted(table(spark, sf_dir, "labels")))
     return found.select("row.doc_id", *(c for c in found.columns if c not in ("row", "llr")))
