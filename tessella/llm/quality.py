@@ -23,7 +23,7 @@ from tessella.llm.store import keep, sized, table
 #: Buckets that n-grams hash into.
 BUCKETS = 1 << 18
 #: Lengths of the n-grams.
-NGRAMS = (1,)
+NGRAMS = (1, 2)
 #: Weight of the corpus's own rate in the trusted rate, as a count: a bucket needs about so many expected words to say much.
 PRIOR = 10.0
 #: The least score is this quantile of the trusted documents' scores, each without its own words.

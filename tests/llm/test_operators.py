@@ -270,6 +270,50 @@ def test_quality(spark, docs, rows, empty):
     assert quality.score(empty, trusted).count() == 0
 
 
+def test_quality_scores_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ENOUGH", 10)
+    rng = random.Random(4)
+
+    def chain(sound, n):
+        out = [0]
+        while len(out) < n:
+            out.append((2 * out[-1] + rng.randint(1, 3)) % 60)
+        return [f"{sound}{x}" for x in out]
+
+    # Of aa nearly all documents are trusted, of bb few: bb's ratios are low, though its documents are as good.
+    made = [(g, chain(g, rng.randint(55, 120))) for g in ("aa", "bb") for _ in range(60)]
+    trusted = {i for i, (g, _) in enumerate(made) if g == "aa" or i % 4 == 0}
+    made += [(made[i][0], rng.sample(made[i][1], len(made[i][1]))) for i in range(0, 120, 10)] + [(None, chain("aa", 70)), ("aa", ["short"])]
+    docs = spark.createDataFrame([(i, " ".join(w), g) for i, (g, w) in enumerate(made)], "doc_id long, text string, lang string")
+    got = {r.row.doc_id: r for r in quality.score(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).collect()}
+
+    pairs = {(a,) for _, w in made for a in w} | {p for _, w in made for p in zip(w, w[1:])}
+    hashed = spark.createDataFrame([(p[0], p[1] if len(p) > 1 else None) for p in pairs], "a string, b string").selectExpr("a", "b", "int(pmod(if(b is null, xxhash64(a), xxhash64(xxhash64(a), xxhash64(b))), 262144)) k").collect()
+    bucket = {(r.a,) if r.b is None else (r.a, r.b): r.k for r in hashed}
+    grams = [[bucket[(a,)] for a in w] + [bucket[p] for p in zip(w, w[1:])] for _, w in made]
+    raw, good = collections.Counter(k for x in grams for k in x), collections.Counter(k for i in trusted for k in grams[i])
+
+    def llr(x, own=()):
+        own = collections.Counter(own)
+        share = (good.total() - own.total()) / raw.total()
+        return sum(round(1000 * math.log((good[k] - own[k] + 10) / (raw[k] * share + 10))) for k in x) / 1000 / len(x)
+
+    held = {i: math.floor(1000 * llr(grams[i], grams[i]) + 1e-9) / 1000 for i in trusted}
+
+    def least(ids):
+        ids = sorted(held[i] for i in ids)
+        return ids[math.floor(0.01 * len(ids))]
+
+    for i, (g, w) in enumerate(made):
+        same = [j for j in trusted if made[j][0] == g]
+        near = [j for j in same if len(made[j][1]).bit_length() == len(w).bit_length()]
+        bound = least(near if len(near) >= 10 else same if len(same) >= 10 else trusted)
+        assert math.isclose(got[i].llr, llr(grams[i]), abs_tol=1e-9)
+        assert got[i].kept == (len(w) >= 50 and not got[i].base_failed and got[i].llr >= bound), i
+    assert sum(got[i].kept for i in range(60, 120)) >= 50
+    assert all(got[120 + k].llr < got[i].llr for k, i in enumerate(range(0, 60, 10)))
+
+
 def test_language_id(spark, empty):
     rng = random.Random(8)
     sounds = {"en": ["the", "ing", "and", "th", "er"], "de": ["ein", "sch", "ung", "ü", "ß"], "fr": ["eau", "ou", "é", "ais", "que"], "es": ["ción", "ñ", "os", "ar", "ll"]}
