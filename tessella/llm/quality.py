@@ -11,10 +11,8 @@ language and length.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,15 +65,24 @@ class Ratios:
         self.raw, self.good, self.n_raw, self.n_good = raw, good, int(raw.sum()), int(good.sum())
         self.table = self.of(np.arange(BUCKETS)).tolist() if self.n_good else [0] * BUCKETS
 
-    def of(self, buckets: np.ndarray, own: np.ndarray | int = 0) -> np.ndarray:
-        """Ratios of some buckets, where ``own`` of their trusted words count as words of no trusted document."""
-        share = (self.n_good - int(np.sum(own))) / max(1, self.n_raw)
-        return np.rint(SCALE * np.log((self.good[buckets] - own + PRIOR) / (self.raw[buckets] * share + PRIOR))).astype(np.int64)
-
-    def held_out(self, grams: np.ndarray) -> float:
-        """The score of a trusted document as if it were not trusted."""
-        buckets, own = np.unique(grams, return_counts=True)
-        return float(own @ self.of(buckets, own)) / SCALE / len(grams)
+    def of(self, buckets: np.ndarray) -> np.ndarray:
+        """Ratios of some buckets."""
+        share = self.n_good / max(1, self.n_raw)
+        return np.rint(SCALE * np.log((self.good[buckets] + PRIOR) / (self.raw[buckets] * share + PRIOR))).astype(np.int64)
+
+    def held_out(self, grams: Column) -> Column:
+        """The sum of a trusted document's ratios, in 1 / SCALE, as if it were not trusted, from its buckets in sorted order."""
+        raw, good = (F.from_json(F.lit(str(x.tolist()).replace(" ", "")), "array<long>") for x in (self.raw, self.good))
+        share = (F.lit(self.n_good) - F.size(grams)) / F.lit(float(max(1, self.n_raw)))
+        # Equal buckets are neighbours; a run of them ends where another begins.
+        of = lambda b, own: own * F.rint(F.lit(float(SCALE)) * F.log((F.get(good, b) - own + F.lit(PRIOR)) / (F.get(raw, b) * share + F.lit(PRIOR))))
+        ended = lambda s: F.when(s["own"] > 0, of(s["b"], s["own"])).otherwise(0.0)
+        return F.aggregate(
+            grams,
+            F.struct(F.lit(0).alias("b"), F.lit(0).alias("own"), F.lit(0.0).alias("sum")),
+            lambda s, b: F.when((s["b"] == b) & (s["own"] > 0), F.struct(b.alias("b"), (s["own"] + 1).alias("own"), s["sum"].alias("sum"))).otherwise(F.struct(b.alias("b"), F.lit(1).alias("own"), (s["sum"] + ended(s)).alias("sum"))),
+            lambda s: s["sum"] + ended(s),
+        )
 
 
 def ratio_table(marked: DataFrame) -> Ratios:
@@ -99,17 +106,10 @@ def least_scores(marked: DataFrame, ratios: Ratios, quantile: float) -> dict[tup
 
     ``marked`` has (good, text, lang).  At most that share of a group's trusted documents is below its least score.
     """
-    shared = marked.sparkSession.sparkContext.broadcast(ratios)
-
-    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = batch.column(2)
-            found = [int(np.floor(SCALE * shared.value.held_out(grams[i].values.to_numpy(zero_copy_only=False)))) for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], ["lang", "band", "score"])
-
     hashed = marked.where("good is not null").select("lang", _hashes(_words(F.col("text"))).alias("h"))
-    long = hashed.where(F.size("h") >= LEAST_WORDS).select("lang", _band(F.size("h")).alias("band"), F.concat(*_buckets(F.col("h"))).alias("grams"))
-    counts = long.mapInArrow(held_out, "lang string, band int, score int").groupBy("lang", "band", "score").agg(F.count(F.lit(1)).alias("n"))
+    long = hashed.where(F.size("h") >= LEAST_WORDS).select("lang", _band(F.size("h")).alias("band"), F.sort_array(F.concat(*_buckets(F.col("h")))).alias("grams"))
+    score = F.floor(ratios.held_out(F.col("grams")) / F.size("grams")).cast("int").alias("score")
+    counts = long.select("lang", "band", score).groupBy("lang", "band", "score").agg(F.count(F.lit(1)).alias("n"))
     key = lambda lang, band: F.struct(F.lit(lang).cast("string").alias("lang") if lang is None else F.col(lang).alias("lang"), F.lit(band).cast("int").alias("band") if band is None else F.col(band).alias("band"))
     # Rows without a language count for all alone.
     keys = F.when(F.col("lang").isNull(), F.array(key(None, None))).otherwise(F.array(key(None, None), key("lang", None), key("lang", "band")))
@@ -180,17 +180,16 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     t = t.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("at")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     t = t.withColumn("base_failed", failed)
-    return t.select("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", (~failed & (F.col("llr") >= lowest)).alias("kept"))
+    results = ("row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr")
+    # A row number is not deterministic for the optimiser, so it neither moves a caller's filter
+    # below this projection nor repeats the scores in it for every element of every list.
+    held = F.struct(*results, (~failed & (F.col("llr") >= lowest)).alias("kept"), F.monotonically_increasing_id().alias("number"))
+    return t.select(held.alias("held")).select(*(F.col(f"held.{c}").alias(c) for c in (*results, "kept")))
 
 
 def kept_rows(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``score`` keeps, unchanged.
-
-    The filter also reads a row number: that holds it above the scores, which the optimiser
-    would else repeat inside it, for every element of every list.
-    """
-    scored = score(docs, trusted, id_col, text_col).withColumn("number", F.monotonically_increasing_id())
-    return scored.where(F.col("kept") & (F.col("number") >= 0)).select("row.*")
+    """The rows of ``docs`` that ``score`` keeps, unchanged."""
+    return score(docs, trusted, id_col, text_col).where("kept").select("row.*")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
