@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.store import input_bytes, table
 from tessella.llm.text import Block, blocks, mix
+from tessella.plans.ship import ship
 
 #: Bytes of text whose windows a task settles at once, and bytes of text for each bucket.
 SETTLED = 6 << 20
@@ -45,7 +46,7 @@ def _unpack(packed: bytes, *kinds: type) -> list[np.ndarray]:
 
 
 def _pack_windows(h: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
-    """``h`` ascends; its differences and the distance of ids from the least are small numbers."""
+    """``h`` is sorted; its differences and the distance of ids from the least are small numbers."""
     low = doc.min() if len(doc) else np.int64(0)
     return np.int64(low).tobytes() + _pack(np.diff(h, prepend=np.uint64(0)), (doc - low).astype(np.uint64), start.astype(np.uint32))
 
@@ -147,6 +148,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     Windows compare by a 64-bit hash, one for each place: among n windows, n * n / 2**65
     chance matches are to be expected (0.0005 in 10**8 windows).
     """
+    ship(docs.sparkSession)
     starts = repeated_windows(docs, window, id_col, text_col)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("_key"))

@@ -65,7 +65,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Rabin-Karp hash of each span of ``values``, from prefix sums: O(1) a span.
 
-    Spans ascend by start and by end; some at a time are hashed, so that the sums stay in cache.
+    Spans are sorted by start and by end; some at a time are hashed, so that the sums stay in cache.
     """
     out, low = np.empty(len(starts), np.uint64), 0
     while low < len(starts):
@@ -124,8 +124,8 @@ class Block:
         return at, spans_hash(hashes, at, at + size)
 
 
-def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK, lower: bool = False, separators: np.ndarray = SPACE) -> Iterator[tuple[int, int, Block]]:
-    """(first row, row past the last, Block) over the texts of a batch; null counts as empty."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row past the last, bytes, offsets) of some texts of a batch at a time; null counts as empty."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_string()).fill_null("")
     if not len(texts):
         return
@@ -135,5 +135,11 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK, lower: bool =
     low = 0
     while low < len(texts):
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
-        yield low, high, Block(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], lower, separators)
+        yield low, high, data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
+
+
+def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK, lower: bool = False, separators: np.ndarray = SPACE) -> Iterator[tuple[int, int, Block]]:
+    """(first row, row past the last, Block) over the texts of a batch; null counts as empty."""
+    for low, high, data, offsets in slices(batch, column, limit):
+        yield low, high, Block(data, offsets, lower, separators)
