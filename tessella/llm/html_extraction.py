@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 
 from tessella.llm.store import table
 from tessella.llm.trees import Trees
+from tessella.plans.ship import ship
 
 #: Made pages that the trees are fitted on, and the seed that they are made with.
 PAGES = 600
@@ -28,10 +30,14 @@ MIXED = 1.0
 
 # Elements by what they do to the tree; fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math select".split())
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements whose content is no text of the page; the first three end where one of BREAKS begins.
+HIDDEN = frozenset("svg select datalist template noscript".split())
+BROKEN = frozenset("svg select datalist".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table caption thead tbody tfoot tr td th ul button".split()
 )
+BREAKS = BLOCK | frozenset("b big br code em embed font i img s small span strong strike sub sup tt u var".split())
 CLOSES_P = BLOCK - frozenset("html body td th tr thead tbody tfoot caption button".split())
 #: An open element of the key ends where one of the values begins, unless a barrier stands between.
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th", "tr"), "th": ("td", "th", "tr"), "thead": ("tbody", "tfoot"), "tbody": ("tbody", "tfoot")}
@@ -56,7 +62,12 @@ TOKENS = (
 )
 _TOKEN = {w: i for i, words in enumerate(TOKENS) for w in words.split()}
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+#: Open elements, at most; deeper ones do not nest, and their text belongs to the innermost of these.
+DEEPEST = 512
+
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_REST = re.compile(r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
+_COMMENT = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _MARK = "data-article"
@@ -88,8 +99,17 @@ class Page:
         return len(self.parent) - 1
 
     def _parse(self, source: str) -> None:
+        """Read the page in one pass, in time linear in its length.
+
+        A tag that never ends is no text, nor is what follows it; where a quoted value never
+        ends, tags end at the next ``>`` from there on.  An unclosed ``script``, ``style`` or
+        comment goes on to the end of the page; of any other element that is not parsed, or
+        that would hide all that follows, the start tag alone goes.
+        """
         root = self._node(-1, _TAG["html"], 0, None, 0, False)
         stack: list[tuple[str, int]] = [("html", root)]  # (name, node of the nearest block)
+        opened, deeper, last_end = Counter({"html": 1}), Counter(), {}
+        hiding: list[str] = []  # the open elements of HIDDEN
         run: list[str] = []
         links = linked = 0
 
@@ -102,58 +122,112 @@ class Page:
                     self._node(at, self.tag[at], 0, text, min(linked, len(text)), self.article[at])
                 run, linked = [], 0
 
+        def push(name: str, node: int) -> None:
+            stack.append((name, node))
+            opened[name] += 1
+
         def pop(to: int) -> None:
             nonlocal links
             for name, _ in stack[to:]:
                 links -= name == "a"
-                if name in BLOCK:
+                opened[name] -= 1
+                if name in HIDDEN:
+                    hiding.pop()
+                elif name in BLOCK:
                     flush()
             del stack[to:]
 
-        def close(names: tuple[str, ...]) -> None:
+        def pop_to(names: tuple[str, ...], barriers: frozenset[str]) -> None:
             """End the innermost open element of these, if no barrier stands before it."""
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in names:
                     pop(i)
                     return
-                if stack[i][0] in BARRIER:
+                if stack[i][0] in barriers:
                     return
 
-        at = 0
-        while True:
-            m = _MARKUP.search(source, at)
-            piece = source[at : m.start()] if m else source[at:]
-            if piece:
+        def ends(name: str) -> bool:
+            """Whether an end tag of that name follows."""
+            if name not in last_end:
+                last_end[name] = max((m.start() for m in re.finditer(rf"</{name}[\s/>]", source, re.I)), default=-1)
+            return last_end[name] >= at
+
+        def end_of(name: str) -> int:
+            """Where the content after the next end tag of that name begins; -1 without one."""
+            if not ends(name):
+                return -1
+            pattern = re.compile(rf"</{name}[\s/>]", re.I)
+            gt = source.find(">", pattern.search(source, at).end() - 1)
+            return gt + 1 if gt >= 0 else len(source)
+
+        at, loose = 0, False
+        while at < len(source):
+            lt = source.find("<", at)
+            piece = source[at:lt] if lt >= 0 else source[at:]
+            if piece and not hiding:
                 run.append(piece)
                 if links:
                     linked += len(piece.strip())
-            if not m:
+            if lt < 0:
                 break
-            at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            m = _NAME.match(source, lt)
+            if not m:
+                comment = _COMMENT.match(source, lt)
+                if comment:
+                    at = comment.end()
+                elif source[lt + 1 : lt + 2] in ("!", "?", "/"):
+                    at = source.find(">", lt) + 1 or len(source)
+                else:
+                    at = lt + 1
+                    if not hiding:
+                        run.append("<")
                 continue
-            name, closing, rest = name.lower(), m[1] or m[4], m[3] or m[6] or ""
-            if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == name:
-                        if name in BLOCK:
-                            flush()
-                        pop(i)
-                        break
-                    if name not in BLOCK and stack[i][0] in BLOCK:
-                        break  # an inline end tag does not end blocks
+            tail = None if loose else _REST.match(source, m.end())
+            if tail:
+                rest, at = tail[1], tail.end()
+            else:
+                loose = True
+                gt = source.find(">", m.end())
+                if gt < 0:
+                    break
+                rest, at = source[m.end() : gt], gt + 1
+            closing, name = m[1], m[2].lower()
+            if closing and name != "br":
+                if hiding and not (name in HIDDEN or (name in BLOCK and hiding[-1] in BROKEN)):
+                    continue
+                if deeper[name]:
+                    deeper[name] -= 1
+                elif opened[name]:
+                    if name in BLOCK:
+                        flush()
+                    # An inline end tag does not end blocks.
+                    pop_to((name,), frozenset() if name in BLOCK or name in HIDDEN else BLOCK)
                 if name in BLOCK:
                     flush()
                 continue
-            if name in RAW:
+            if name in RAW and not (name == "title" and "svg" in hiding[-1:]):
                 if not rest.endswith("/"):
-                    end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
-                    gt = source.find(">", end.start()) if end else -1
-                    at = gt + 1 if gt >= 0 else len(source)
-                if name in ("select", "textarea"):
+                    end = end_of(name)
+                    at = end if end >= 0 else len(source) if name in ("script", "style") else at
+                if name == "textarea":
                     self.inputs[stack[-1][1]] += 1
                 continue
+            if hiding:
+                while hiding and hiding[-1] in BROKEN and name in BREAKS:
+                    pop_to((hiding[-1],), frozenset())
+                if hiding and name not in HIDDEN:
+                    continue
+            if name in HIDDEN:
+                if name == "select":
+                    self.inputs[stack[-1][1]] += 1
+                if rest.endswith("/") or (name not in BROKEN and not ends(name)):
+                    continue
+                if hiding and len(stack) >= DEEPEST:
+                    deeper[name] += 1
+                else:
+                    push(name, stack[-1][1])
+                    hiding.append(name)
+                continue
             if name == "br":
                 run.append(" ")
                 continue
@@ -161,18 +235,17 @@ class Page:
                 self.inputs[stack[-1][1]] += 1
             if name in CLOSES_P:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        pop(i)
-                        break
-                    if stack[i][0] in BLOCK:
-                        break
+                pop_to(("p",), BLOCK)
             if name in IMPLIED:
                 flush()
-                close(tuple(k for k, ends in IMPLIED.items() if name in ends))
-            if name in VOID:
+                pop_to(tuple(k for k, ends in IMPLIED.items() if name in ends), BARRIER)
+            if name in VOID or name == "html":
                 continue
-            if name in BLOCK and name not in ("html",):
+            if len(stack) >= DEEPEST:
+                if name in BLOCK:
+                    flush()
+                deeper[name] += not rest.endswith("/") or name in BLOCK
+            elif name in BLOCK:
                 flush()
                 bits = 0
                 if rest:
@@ -181,15 +254,19 @@ class Page:
                             k = _TOKEN.get(w.lower())
                             if k is not None:
                                 bits |= 1 << k
-                node = self._node(stack[-1][1], _TAG.get(name, _TAG["div"]), bits, None, 0, _MARK in rest or self.article[stack[-1][1]] and "data-other" not in rest)
-                stack.append((name, node))
-            elif name != "html" and not rest.endswith("/"):
+                push(name, self._node(stack[-1][1], _TAG.get(name, _TAG["div"]), bits, None, 0, _MARK in rest or self.article[stack[-1][1]] and "data-other" not in rest))
+            elif not rest.endswith("/"):
                 links += name == "a"
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
         pop(1)
         flush()
 
 
+def _levels(depth: np.ndarray) -> list[np.ndarray]:
+    """Rows of each depth, in order."""
+    return np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+
+
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(features of all nodes, parents over all pages, depths): subtree density, attribute words, depth and siblings."""
     base = np.cumsum([0, *[len(p.parent) for p in pages]])
@@ -207,7 +284,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.stack([chars, words, stops, link, leaf, np.ones(len(leaf), int), inputs, tag == _TAG["p"], tag == _TAG["li"]], 1).astype(np.float64)
     up, inherited = bits.copy(), np.zeros(len(bits), np.int64)
     above = np.zeros(len(bits), np.int64)  # tags of ancestors, a bit for each
-    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1 if len(depth) else 0)]
+    levels = _levels(depth)
     for rows in levels[1:]:
         inherited[rows] = inherited[parent[rows]] | bits[parent[rows]]
         above[rows] = above[parent[rows]] | (1 << tag[parent[rows]])
@@ -239,7 +316,7 @@ def decode(margin: np.ndarray, parent: np.ndarray, depth: np.ndarray, leaf: np.n
     weight = np.where(leaf, 1 + np.log1p(words), 1.0)
     inside, outside = -weight * np.logaddexp(0, -margin), -weight * np.logaddexp(0, margin)
     mixed = np.where(leaf, -np.inf, -MIXED)
-    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1 if len(depth) else 0)]
+    levels = _levels(depth)
     for rows in levels[:0:-1]:
         np.add.at(inside, parent[rows], inside[rows])
         np.add.at(outside, parent[rows], outside[rows])
@@ -411,11 +488,13 @@ def extract(pages: DataFrame, html_col: str = "html", model: Trees | None = None
     """``pages`` with ``text``, each page's main text, in place of its html.
 
     White space inside a text run becomes one space; runs are joined by one space.  A null,
-    empty or article-less page has an empty text.  Each row has its own result.  A column of
-    ``pages`` that is called ``text`` is replaced.
+    empty or article-less page has an empty text.  Each row has its own result, so rows may
+    repeat; an empty table gives none.  A column of ``pages`` that is called ``text``, in
+    whatever case, is replaced.
     """
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model or fit())
-    columns = [c for c in pages.columns if c not in (html_col, "text")]
+    columns = [c for c in pages.columns if c.lower() not in (html_col.lower(), "text")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
