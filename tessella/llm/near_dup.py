@@ -14,9 +14,10 @@ it is a minor part, however many hold it.
 Lists are not expanded into pairs.  The least node of a list leads it, and lists with one
 leader count as one group.  Members are first compared with their leaders, and components
 follow.  Only groups that still hold several components are compared inside, in blocks of
-``GROUP`` members, by counting common values; a block hands on the links that join
-components, not its pairs.  So no link between components is lost, and n near copies make
-about n rows.
+bounded size, by counting common values: first those of sketches, which leaves the members
+that may have a link to another component, then those of their full sets.  A block hands on
+the links that join components, not its pairs.  So no link between components is lost, and n
+near copies make about n rows.
 """
 
 from __future__ import annotations
@@ -33,11 +34,15 @@ from pyspark.sql import functions as F
 from tessella.llm.bits import MOST, bits
 from tessella.llm.store import keep, table
 from tessella.llm.text import Block, blocks, spans_hash
+from tessella.plans.ship import ship
 
 K = 64
 MISS = 1e-9
-#: Members of a group that are compared with each other at once.
+#: Members of a group that are compared with each other at once, and values of their full sets, about.
 GROUP = 1024
+GROUP_VALUES = 4 << 20
+#: Parts that the members of one leader are dealt into where they meet the leader's row.
+SALTS = 16
 #: A value held by more members of a block than this is counted by a matrix product, else pair by pair.
 DENSE = 16
 
@@ -216,14 +221,46 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def joining_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join different components of a group; ``groups`` has (leader, node, component)."""
-    sizes = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    blocks_of = F.ceil(F.col("n") / GROUP).cast("int")
-    members = groups.join(sizes.select("leader", blocks_of.alias("blocks")), "leader").withColumn("p", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # Block p meets each block q, itself included; nearly all groups have one block.
+def in_blocks(groups: DataFrame) -> DataFrame:
+    """(leader, p, q, node, component, n, sketch): members of groups that hold several components, once for each two blocks.
+
+    ``groups`` has (leader, node, component, n, sketch).  A group's members are dealt into
+    blocks by a hash of the node; block p meets each block q, itself included.
+    """
+    sizes = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("values"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    most = F.greatest(F.ceil(F.col("many") / GROUP), F.ceil(F.col("values") / GROUP_VALUES)).cast("int")
+    # A leader of many nodes is met in parts.
+    sizes = sizes.select("leader", most.alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    members = groups.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(SALTS)).cast("int")).join(sizes, ["leader", "salt"])
+    members = members.withColumn("p", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = members.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("leader", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "node", "component").distinct()
+    return members.select("leader", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "node", "component", "n", "sketch")
+
+
+def likely_members(members: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(leader, p, q, node, component) of members whose sketch does not rule out a link to a member of another component."""
+    most = needed(10**9, k, threshold)
+
+    def look(block: pa.Table) -> pa.Table:
+        lists = block.column("sketch").combine_chunks()
+        ends = lists.offsets.to_numpy()
+        flat = lists.values.to_numpy(zero_copy_only=False)
+        both = common_counts([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])
+        n = block.column("n").to_numpy()
+        _, component = np.unique(block.column("component").to_pylist(), return_inverse=True)
+        kept = np.minimum(n, k)
+        # The union sketch shares no more than the sketches do.
+        union = kept[:, None] + kept[None, :] - both
+        near = both >= np.where(union < k, threshold * union - 1e-9, most)
+        near &= (np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9) & (component[:, None] != component[None, :])
+        return block.select(["leader", "p", "q", "node", "component"]).filter(pa.array(near.any(axis=1)))
+
+    kind = dict(members.dtypes)
+    return members.groupBy("leader", "p", "q").applyInArrow(look, f"leader {kind['leader']}, p int, q int, node {kind['node']}, component {kind['component']}")
+
+
+def joining_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join different components of a block; ``members`` has (leader, p, q, node, component)."""
     members = members.join(sets.select(F.col("id").alias("node"), "set"), "node")
 
     def compare(block: pa.Table) -> pa.Table:
@@ -249,7 +286,7 @@ def joining_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         kind = block.column("node").type
         return pa.table({"a": pa.array([x[0] for x in links], kind), "b": pa.array([x[1] for x in links], kind)})
 
-    kind = dict(groups.dtypes)["node"]
+    kind = dict(members.dtypes)["node"]
     return members.groupBy("leader", "p", "q").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
@@ -263,19 +300,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.75, k:
     share an id are one node: what one of them links to, all do; and of fully equal rows all
     are kept or none is.
     """
+    ship(docs.sparkSession)
     rows = keep(sketches(docs, words, k, id_col, text_col), "sketches")
     classes = rows.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = keep(classes, "classes")
     listed = keep(index(classes, k, threshold), "lists")
     leaders = listed.groupBy("v").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").select("v", "leader")
     groups = keep(listed.join(leaders, "v").select("leader", "node").distinct(), "groups")
-    sets = keep(full_sets(docs, groups, words, id_col, text_col), "sets")
     pairs = groups.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    best = estimated(pairs, classes, k, threshold).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a"))
+    best = keep(estimated(pairs, classes, k, threshold).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")), "best")
+    sets = keep(full_sets(docs, best.select(F.col("a").alias("node")).union(best.select("b")), words, id_col, text_col), "sets")
     links = keep(verified(best, sets, threshold), "links")
     first = components(links)
     groups = groups.join(first, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("component"))
-    found = components(links.union(joining_links(groups, sets, round(threshold * 100))))
+    members = keep(likely_members(in_blocks(groups.join(classes.select("node", "n", "sketch"), "node")), k, threshold), "members")
+    more = keep(full_sets(docs, members, words, id_col, text_col), "sets")
+    found = components(links.union(joining_links(members, more, round(threshold * 100))))
 
     whole = classes.select("fp", "node").join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
     out = rows.select("id", "n", "fp").join(whole, "fp", "left")
