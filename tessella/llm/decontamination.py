@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bits import bits
-from tessella.llm.store import keep, table
+from tessella.llm.store import keep, row_key, sized, table
 from tessella.llm.text import NOT_ALNUM, Block, blocks
+from tessella.plans.ship import ship
 
 #: Words of a shingle; a window of fewer words is one shingle itself.
 SHINGLE = 4
@@ -90,19 +91,22 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
     shorter one; a document word inside any occurrence of a window is hit.  ``hit_items`` has
     the ids, as strings in ascending order, of items with an occurring window (a null item id
     as an empty string).  A document is contaminated if at least one word in ``share`` is hit.
-    Null and empty texts have no words and are clean.  Rows that share an id get one verdict,
-    of their texts taken together, for each of them.
+    Null and empty texts have no words and are clean.  Each row has its own result, so rows may
+    share an id or have none.  Without items, or without documents, nothing is hit.
     """
+    ship(docs.sparkSession)
     items = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    windows = keep(item_windows(items, window, "item", "text"), "windows")
+    # Windows of the same items share one list of them, which hits name by its hash.
+    windows = keep(item_windows(items, window, "item", "text").withColumn("list", F.xxhash64(F.array_sort("items"))), "windows")
+    lists = keep(windows.groupBy("list").agg(F.first("items").alias("items")), "lists")
     sizes = sorted({min(SHINGLE, r.size) for r in windows.select("size").distinct().collect()})  # at most ``window`` rows
     context = docs.sparkSession.sparkContext
-    shingles = windows.select("text", "size", "items", F.posexplode("shingles").alias("at", "h"))
+    shingles = windows.select("text", "size", "list", F.posexplode("shingles").alias("at", "h"))
     counts = shingle_counts(docs, sizes, context.broadcast(bits(shingles.select("h"), shingles.count())), text_col)
     # The rarest shingle of each window is its prefix.
-    ranked = shingles.join(counts, "h").groupBy("text").agg(F.min(F.struct("n", "at", "h")).alias("x"), F.first("size").alias("size"), F.first("items").alias("items"), F.count(F.lit(1)).alias("seen"))
+    ranked = shingles.join(counts, "h").groupBy("text").agg(F.min(F.struct("n", "at", "h")).alias("x"), F.first("size").alias("size"), F.first("list").alias("list"), F.count(F.lit(1)).alias("seen"))
     complete = F.col("seen") == F.col("size") - F.least("size", F.lit(SHINGLE)) + 1  # a shingle that no document has rules its window out
-    prefixes = keep(ranked.where(complete).select("text", "size", "items", F.col("x.at").alias("at"), F.col("x.h").alias("h")), "prefixes")
+    prefixes = keep(ranked.where(complete).select("text", "size", "list", F.col("x.at").alias("at"), F.col("x.h").alias("h")), "prefixes")
     wanted = context.broadcast(bits(prefixes.select("h"), prefixes.count()))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,19 +128,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
                     words += [_words(block, int(p), int(q)) for p, q in zip(a, b, strict=True)]
                 n = np.concatenate([block.counts, np.zeros(len(words) - (high - low), np.int64)])
                 row = np.concatenate(row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(n), *(pa.array(np.concatenate(x), pa.int64()) for x in (h, at, begin)), pa.array(words, pa.string())], ["id", "n", "h", "at", "begin", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row)), pa.array(n), *(pa.array(np.concatenate(x), pa.int64()) for x in (h, at, begin)), pa.array(words, pa.string())], ["id", "key", "n", "h", "at", "begin", "words"])
 
     kind = dict(docs.dtypes)[id_col]
-    places = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(probe, f"id {kind}, n long, h long, at long, begin long, words string")
-    p = prefixes.select("h", F.col("at").alias("inside"), "size", "items", F.concat(F.lit(" "), "text", F.lit(" ")).alias("window"))
+    places = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key")).mapInArrow(probe, f"id {kind}, key long, n long, h long, at long, begin long, words string")
+    p = prefixes.select("h", F.col("at").alias("inside"), "size", "list", F.concat(F.lit(" "), "text", F.lit(" ")).alias("window"))
     found = places.join(p, "h", "left")
     start = F.col("at") - F.col("inside")
     # The window's words must follow at that very place: the word before it ends where the window begins.
     skip = start - F.col("begin")
     cut = F.concat(F.lit(" "), F.array_join(F.slice(F.split("words", " "), (skip + 1).cast("int"), F.col("size")), " "), F.lit(" "))
     hit = F.col("window").isNotNull() & (F.col("at") >= 0) & (skip >= 0)
-    hit = F.when(hit, F.when(cut == F.col("window"), F.struct(start.alias("low"), (start + F.col("size")).alias("high"), F.col("items").alias("items"))))
-    rows = found.groupBy("id").agg(F.sum("n").alias("n_words"), F.sum((F.col("at") == -1).cast("int")).alias("copies"), F.collect_list(hit).alias("hits"))
+    hit = F.when(hit, F.when(cut == F.col("window"), F.struct(start.alias("low"), (start + F.col("size")).alias("high"), F.col("list").alias("list"))))
+    # Rows of one key are equal, and so are their hits.
+    rows = found.groupBy("id", "key").agg(F.max("n").alias("n_words"), F.sum((F.col("at") == -1).cast("int")).alias("copies"), F.collect_set(hit).alias("hits"))
     spans = F.array_sort(F.transform("hits", lambda x: F.struct(x["low"].alias("low"), x["high"].alias("high"))))
     covered = F.aggregate(
         spans,
@@ -144,7 +149,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, share: in
         lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0).cast("long"), x["high"] - F.greatest(x["low"], s["to"]))).alias("n"), F.greatest(s["to"], x["high"]).alias("to")),
         lambda s: s["n"],
     )
-    rows = rows.select("id", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))), "n_words", covered.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"])))).alias("hit_items"))
+    rows = rows.select("id", "key", "copies", "n_words", covered.alias("n_hit"), F.explode_outer(F.array_distinct(F.transform("hits", lambda x: x["list"]))).alias("list"))
+    rows = rows.join(sized(lists), "list", "left").groupBy("id", "key").agg(*(F.first(c).alias(c) for c in ("copies", "n_words", "n_hit")), F.flatten(F.collect_set("items")).alias("hit_items"))
+    rows = rows.select("id", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))), "n_words", "n_hit", F.array_sort(F.array_distinct("hit_items")).alias("hit_items"))
     return rows.select(F.col("id").alias(id_col), "n_words", "n_hit", "hit_items", ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 

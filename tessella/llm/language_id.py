@@ -18,8 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.store import table
+from tessella.plans.ship import ship
 
 SAMPLE = 600
+#: Texts of all languages together, about; beyond, each language gets an equal share.
+SAMPLE_ALL = 12_000
 #: Features: hashed n-grams of one to three bytes.
 SIZE = 1 << 12
 NGRAMS = (1, 2, 3)
@@ -160,12 +163,12 @@ class Model:
 
 
 def fit(docs: DataFrame, sample: int, id_col: str, text_col: str, lang_col: str) -> Model | None:
-    """A model from about ``sample`` texts of each language; None without labelled texts."""
+    """A model from about ``sample`` texts of each language, ``SAMPLE_ALL`` in all; None without labelled texts."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # a row for each language
     if not counts:
         return None
-    rate = F.lit(0.0)
+    sample, rate = min(sample, -(-SAMPLE_ALL // len(counts))), F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col(lang_col) == lang, F.lit(min(1.0, sample / n))).otherwise(rate)
     chosen = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(7)), F.lit(1 << 20)) < rate * (1 << 20))
@@ -188,8 +191,10 @@ def predict(docs: DataFrame, training: Column, sample: int = SAMPLE, id_col: str
     are not.  ``lang_pred`` is a language of the training rows, or ``und`` with score 0 where
     the text is null or has no letter, or nothing could be learnt.  ``score`` is the
     probability of the family times that of the language in it, each its least against
-    another.  Each row has its own result.
+    another.  Each row has its own result, so rows may share an id or have none; a row for
+    which ``training`` is null is not learnt from.  With one language, that is all to predict.
     """
+    ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.where(training), sample, id_col, text_col, lang_col))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,6 +212,7 @@ def predict(docs: DataFrame, training: Column, sample: int = SAMPLE, id_col: str
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    # A row without id is held out: nothing is learnt from it.
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(True))
     found = predict(table(spark, sf_dir, "documents"), ~held_out)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")

@@ -1,7 +1,8 @@
 """Log-likelihood of texts under a unigram model of subword pieces, over all segmentations.
 
-The pieces are an existing vocabulary's; their probabilities start from its order and are
-re-estimated on the training texts by expectation maximisation.  A text is a sequence of
+The pieces are an existing vocabulary's.  No vocabulary of a unigram model is at hand, so in
+place of a unigram file's scores, probabilities start from the order of a BPE vocabulary and
+are re-estimated on the training texts by expectation maximisation.  A text is a sequence of
 words, each a space and its bytes, and an end.  The likelihood of a word is the sum over all
 ways to cut it into pieces, by forward recursion in log space, so it is worked out once for
 each distinct word and weighted by its count.
@@ -21,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import keep, table
+from tessella.llm.store import keep, row_key, table
 from tessella.llm.text import _BYTE, blocks, spans_hash
+from tessella.plans.ship import ship
 
 FREQUENT = 1 << 16
 ROUNDS = 2
 #: Added to each expected count.
 SMOOTH = 0.1
+#: Words of more bytes are gone through some bytes at a time, with one number kept for each byte.
+LONG = 1 << 14
 
 
 class Pieces:
@@ -70,8 +74,61 @@ class Pieces:
         return out
 
 
+def _edges(data: np.ndarray, pieces: Pieces, logp: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
+    """(where it begins, length, piece, its log probability) of each piece that begins from ``low`` on and before ``high``."""
+    some = data[low : high + pieces.longest]
+    at = [(np.flatnonzero(p[: high - low] >= 0), n, p) for n, p in pieces.at(some, np.full(len(some), len(some)))]
+    begin = np.concatenate([k for k, _, _ in at])
+    order = np.argsort(begin, kind="stable")
+    piece = np.concatenate([p[k] for k, _, p in at])[order]
+    return begin[order] + low, np.concatenate([np.full(len(k), n) for k, n, _ in at])[order], piece, logp[piece]
+
+
+def _add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
+def long_word(word: bytes, pieces: Pieces, logp: np.ndarray, count: float | None = None) -> float | np.ndarray:
+    """As ``lattice``, of one very long word."""
+    data, longest = np.frombuffer(b" " + word, np.uint8), pieces.longest
+    ahead = np.full(len(data) + 1 + longest, -np.inf)
+    ahead[0] = 0
+    lows = range(0, len(data), LONG)
+    for low in lows:
+        begin, length, _, score = _edges(data, pieces, logp, low, min(len(data), low + LONG))
+        a = ahead[low : low + LONG + longest].tolist()
+        for i, n, s in zip((begin - low).tolist(), length.tolist(), score.tolist(), strict=True):
+            a[i + n] = _add(a[i + n], a[i] + s)
+        ahead[low : low + LONG + longest] = a
+    likelihood = float(ahead[len(data)])
+    if count is None:
+        return likelihood
+    behind, expected = np.full(len(ahead), -np.inf), np.zeros(pieces.n)
+    behind[len(data)] = 0
+    for low in reversed(lows):
+        begin, length, piece, score = _edges(data, pieces, logp, low, min(len(data), low + LONG))
+        b = behind[low : low + LONG + longest].tolist()
+        for i, n, s in zip((begin - low)[::-1].tolist(), length[::-1].tolist(), score[::-1].tolist(), strict=True):
+            b[i] = _add(b[i], s + b[i + n])
+        behind[low : low + LONG + longest] = b
+        expected += np.bincount(piece, np.exp(ahead[begin] + score + behind[begin + length] - likelihood) * count, pieces.n)
+    return expected
+
+
 def lattice(words: list[bytes], pieces: Pieces, logp: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
     """The natural log likelihood of each word; with ``counts``, the expected count of each piece instead."""
+    long = np.array([len(w) > LONG for w in words], bool)
+    if long.any():
+        parts = [long_word(words[i], pieces, logp, None if counts is None else float(counts[i])) for i in np.flatnonzero(long)]
+        short = [w for w, far in zip(words, long, strict=True) if not far]
+        rest = lattice(short, pieces, logp, None if counts is None else counts[~long]) if short else 0.0
+        if counts is not None:
+            return rest + sum(parts)
+        out = np.empty(len(words))
+        out[long], out[~long] = parts, rest
+        return out
     order = np.argsort([-len(w) for w in words], kind="stable")
     length = np.array([len(words[i]) for i in order]) + 1
     data = np.frombuffer(b"".join(b" " + words[i] for i in order), np.uint8)
@@ -169,11 +226,13 @@ def score(docs: DataFrame, training: Column, vocabulary: str, rounds: int = ROUN
     Texts are lower-cased (A-Z) and cut at ASCII white space; each ends with one end token.  A
     null or empty text is the end alone.  ``training`` says which rows are learnt from, and
     ``held_out`` is its negation.  ``base_score`` is the log10 likelihood under word counts
-    with 0.5 added; ``score`` that under the pieces.  Rows that share an id get one result each:
-    of equal rows their own, of different ones the mean.
+    with 0.5 added; ``score`` that under the pieces.  Each row has its own result, so rows may
+    share an id or have none; a row for which ``training`` is null is not learnt from.  An
+    empty table gives no row; without training rows no word is known.
     """
+    ship(docs.sparkSession)
     train = F.coalesce(training, F.lit(False))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), train.alias("train"), row_key(id_col, text_col).alias("key"))
     texts = source.where("train").count()
     words = keep(count_words(source, F.col("train"), "text"), "words")
     pieces = Pieces(vocabulary)
@@ -223,15 +282,17 @@ def score(docs: DataFrame, training: Column, vocabulary: str, rounds: int = ROUN
                         pa.array(np.r_[by_piece, zero]),
                         pa.array(np.r_[np.ones(len(block), np.int64), zero.astype(np.int64)]),
                         batch.column(2).take(pa.array(row)),
+                        batch.column(3).take(pa.array(row)),
                     ],
-                    ["id", "h", "times", "words", "known", "base", "p0", "rows", "train"],
+                    ["id", "h", "times", "words", "known", "base", "p0", "rows", "train", "key"],
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    parts = source.select("id", "text", "train").mapInArrow(look_up, f"id {kind}, h long, times long, words long, known long, base double, p0 double, rows long, train boolean")
+    parts = source.select("id", "text", "train", "key").mapInArrow(look_up, f"id {kind}, h long, times long, words long, known long, base double, p0 double, rows long, train boolean, key long")
     found = parts.join(weighed, "h", "left")
     some = F.col("times") > 0
-    sums = found.groupBy("id").agg(
+    # Rows of one key are equal; sums over them are shared out.
+    sums = found.groupBy("id", "key").agg(
         F.sum("rows").alias("rows"),
         F.sum("words").alias("words"),
         F.sum(F.col("known") + F.when(some & (F.col("c") > 0), F.col("times")).otherwise(0)).alias("known"),

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.bits import bits
-from tessella.llm.store import keep, sized, table
+from tessella.llm.store import keep, row_key, sized, table
 from tessella.llm.text import _BYTE, SPACE, blocks, spans_hash
+from tessella.plans.ship import ship
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs so many different seeds, in so many documents, and such a share of its occurrences.
@@ -120,11 +121,6 @@ _SPAN = "array<struct<start:long,end:long,kind:string>>"
 _FOUND = "array<struct<start:long,end:long,kind:string,seed:boolean,value:string,h:long,size:int>>"
 
 
-def row_key(id_col: str, text_col: str) -> Column:
-    """Hash of a row's id and text; a null has a value of its own, so neither stands for the other."""
-    return F.xxhash64(id_col, F.col(id_col).isNull(), text_col)
-
-
 def occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, base, found): fixed forms of each row, and with each pattern before it every fixed or loose form."""
 
@@ -201,6 +197,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(id, key, base, spans) as in ``find``; the key is the hash of a row's id and text."""
+    ship(docs.sparkSession)
     found = keep(occurrences(docs, id_col, text_col), "occurrences")
     patterns = confident_patterns(docs, found, text_col, rounds, support, confidence)
     loose = found.select("key", F.explode("found").alias("x")).where("not x.seed").select("key", "x.*")

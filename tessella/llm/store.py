@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.plans.ship import ship
@@ -29,6 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Hash of a row's id and text; a null has a value of its own, so neither stands for the other."""
+    return F.xxhash64(id_col, F.col(id_col).isNull(), text_col, F.col(text_col).isNull())
+
+
 #: Rows of a few narrow columns that may be broadcast: some tens of MB.
 FEW = 1 << 20
 

@@ -5,12 +5,16 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import decontamination, html_extraction, language_id, license_scan, lm_score, near_dup, packing, pii, quality, substring_dedup
+from tessella.llm.text import slices
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -123,6 +127,26 @@ def test_chain_of_near_copies_is_one_component(spark):
     assert {r.component_id for r in near_dup.near_duplicates(frame(spark, rows)).collect()} == {0}
 
 
+def test_groups_just_below_the_threshold(spark, monkeypatch):
+    """Many texts of which no two are similar enough, and some that are, in one group of several blocks."""
+    monkeypatch.setattr(near_dup, "GROUP", 128)
+    rng = random.Random(6)
+    common = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *(f"n{i}_{k}" for k in range(15))])) for i in range(400)]  # 56 of 86 shingles are common
+    for i, of in ((400, 7), (401, 399), (402, 401)):
+        w = rows[of][1].split()
+        w[rng.randrange(62, 74)] = f"changed{i}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert set(links) >= {(7, 400), (399, 401)}
+    label = {i: i for i in sets}
+    for _ in range(5):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows)).collect()} == label
+
+
 def test_common_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))) for _ in range(40)]
@@ -144,18 +168,19 @@ def test_decontamination(spark, docs, rows, empty):
         n = min(13, len(w))
         for k in range(len(w) - n + 1 if n else 0):
             windows[tuple(w[k : k + n])].add("" if i is None else str(i))
-    got = {r.doc_id: r for r in decontamination.decontaminate(docs, bench).collect() if r.doc_id is not None}
-    for i, t in rows:
-        if i is None:
-            continue
+    twice = rows + [(0, rows[2][1]), (0, rows[2][1]), (None, items[0][1]), (None, items[0][1] + " and more" * 500), (None, "one")]
+    made = decontamination.decontaminate(frame(spark, twice), bench).collect()
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r.hit_items), r.contaminated) for r in made)
+    expected = collections.Counter()
+    for i, t in twice:
         w, hit, found = cut(t), set(), set()
         for size in {len(x) for x in windows}:
             for k in range(len(w) - size + 1):
                 if tuple(w[k : k + size]) in windows:
                     hit |= set(range(k, k + size))
                     found |= windows[tuple(w[k : k + size])]
-        r = got[i]
-        assert (r.n_words, r.n_hit, r.hit_items, r.contaminated) == (len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)), i
+        expected[(i, len(w), len(hit), tuple(sorted(found)), len(hit) > 0 and 20 * len(hit) >= len(w))] += 1
+    assert got == expected
     assert decontamination.decontaminate(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontamination.decontaminate(empty, bench).count() == 0
     assert decontamination.decontaminate(docs, bench).count() == len(rows)
@@ -232,13 +257,31 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_encoder_by_words_equals_whole_texts():
+def encoded(encoder, texts):
+    out = []
+    for _, _, data, offsets in slices(pa.record_batch([pa.array(texts, pa.string())], ["text"]), "text", 1 << 12):
+        ids, first = encoder.encode(data, offsets)
+        out += [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+    return out
+
+
+def test_encoder_by_segments_equals_whole_texts(monkeypatch):
     rng = random.Random(2)
-    parts = ["a", "the", " ", "  ", "\n", "\t", ".", "é", "'s", "12", "😀", "\x1c", "<|endoftext|>", "\r\n", " "]
+    parts = ["a", "the", "Re", " ", "  ", "\n", "\t", ".", "_", "é", "'s", "x", "12", "😀", "日", "“", "\x1c", "\x85", "\xa0", "\u2009", "\u3000", "\u200b", "<|endoftext|>", "\r\n", " "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(5000)]
-    e = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    whole = [np.array(x.ids, "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert e.encode(texts) == whole
+    for slots in (packing.SLOTS, 6):  # in a small table segments push each other out
+        monkeypatch.setattr(packing, "SLOTS", slots)
+        e = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+        whole = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert encoded(e, texts) == whole == encoded(e, texts)
+    assert encoded(e, ["", None, ""]) == [[], [], []]
+
+
+def test_cut_pieces():
+    counts = np.array([1, 64, 65, 128, 200])
+    text, piece, start, length = packing.cut_pieces(counts, 64)
+    assert text.tolist() == [0, 1, 2, 2, 3, 3, 4, 4, 4, 4] and piece.tolist() == [0, 0, 0, 1, 0, 1, 0, 1, 2, 3]
+    assert length.tolist() == [1, 64, 1, 64, 64, 64, 8, 64, 64, 64] and start.tolist() == [0, 0, 0, 1, 0, 64, 0, 8, 72, 136]
 
 
 def test_plan_is_within_a_sequence_of_the_bound():
@@ -340,7 +383,7 @@ def brute_likelihood(word, pieces, logp):
     return ahead[-1]
 
 
-def test_lattice():
+def test_lattice(monkeypatch):
     p = lm_score.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     import sentencepiece
 
@@ -354,12 +397,22 @@ def test_lattice():
     expected = lm_score.lattice(words, p, p.logp, np.ones(len(words)))
     length = np.array([len(t) for t in sorted(text, key=lambda x: (len(x), x))])
     assert abs((expected * length).sum() - sum(len(w) + 1 for w in words)) < 1e-6
+    # The way of very long words, a few bytes at a time.
+    monkeypatch.setattr(lm_score, "LONG", 3)
+    assert np.allclose(lm_score.lattice(words, p, p.logp), got)
+    assert np.allclose(lm_score.lattice(words, p, p.logp, np.ones(len(words))), expected)
+
+
+def test_lm_score_of_rows_that_share_an_id(spark):
+    rows = [(1, "some words here"), (1, "other words there"), (1, "some words here"), (None, "some words here"), (None, None), (2, "words " * 3 + "z" * 50_000)]
+    got = lm_score.score(frame(spark, rows), F.col("doc_id") == 1, public_tokenizers.path("piece_bpe_32k.model"), rounds=1, frequent=1).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.n_known) for r in got) == [(0, 1, 1), (0, 4, 4), (1, 4, 4), (1, 4, 4), (1, 4, 4), (2, 5, 4)]
+    by = collections.Counter((r.doc_id, round(r.score, 6)) for r in got)
+    assert sorted(n for (i, _), n in by.items() if i == 1) == [1, 2] and {r.score for r in got if r.doc_id is None} & {r.score for r in got if r.doc_id == 1}
 
 
 def test_lm_score(spark, docs, rows, empty):
     train = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 1
-    from pyspark.sql import functions as F
-
     training = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
     path = public_tokenizers.path("piece_bpe_32k.model")
     few = {r.doc_id: r for r in lm_score.score(docs, training, path, rounds=1, frequent=5).collect()}
@@ -380,8 +433,38 @@ def test_lm_score(spark, docs, rows, empty):
     assert lm_score.score(empty, training, path).count() == 0
 
 
-def test_html_extraction(spark):
-    model = html_extraction.fit()
+@pytest.fixture(scope="module")
+def page_model():
+    return html_extraction.fit(pages=200)
+
+
+def runs(source):
+    return [t for t in html_extraction.Page(source).text if t is not None]
+
+
+def test_pages_lose_no_text_to_unclosed_elements():
+    cases = {
+        "<p>before</p><svg><p>after": ["before", "after"], "<p>Let <math>x</math> be": ["Let x be"], "<p>one</p><select><option>a<p>two": ["one", "two"], "<svg><svg></svg><text>no</text></svg>yes": ["yes"],
+        "<noscript>no<p>no</p></noscript>yes": ["yes"], "<noscript>yes": ["yes"], "<template><div>no</div><template>x</template>no</template>yes": ["yes"], "<template>yes": ["yes"],
+        "a < b and <3": ["a < b and <3"], "<textarea>yes": ["yes"], "<iframe>yes<p>also": ["yes", "also"], "<script>no": [], "yes<style>no": ["yes"], "<!-->yes": ["yes"], "<!-- a --!>yes": ["yes"], "yes<!-- no": ["yes"],
+        "<p title='a>b'>yes</p>": ["yes"], "<p title='a>yes</p>": ["yes"], "yes<a href=": ["yes"], '<p class=a"b>yes</p>': ["yes"], "<svg><title>no</title></svg><p>yes": ["yes"], "</div>a</p>b": ["a", "b"], "a&amp;b &eacute;&#x41;": ["a&b éA"],
+    }
+    assert {s: runs(s) for s in cases} == cases
+
+
+def test_pages_without_shape_take_linear_time(page_model):
+    big = ["<a " * 350_000, '<a x=">"' * 130_000, "<div>" * 100_000 + "deep", "<textarea>" * 100_000, "<" * 300_000, "<!--" * 200_000, "<svg>" * 100_000, "<template>" * 50_000 + "</template>" * 50_000, "<div>" * 50_000 + "</section>" * 50_000, "<li>" * 50_000]
+    began = time.monotonic()
+    for s in big:
+        html_extraction.main_texts(page_model, [s])
+    assert time.monotonic() - began < 60
+    assert runs("<div>" * 2000 + "deep" + "</div>" * 2000 + "<p>out") == ["deep", "out"]
+    words = " ".join(f"word{i}" for i in range(200_000)) + "."
+    assert html_extraction.main_texts(page_model, [f"<article><p>{words}</p></article>"]) == [words]
+
+
+def test_html_extraction(spark, page_model):
+    model = page_model
     made = html_extraction.training_pages(120, 4242)
 
     def truth(s):
@@ -395,6 +478,10 @@ def test_html_extraction(spark):
     got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), model=model).collect()}
     assert got[1].startswith("A day It was a long day") and got[1].endswith("Nobody knew é why.") and "dry" not in got[1] and "Home" not in got[1]
     assert got[2] == got[3] == got[5] == ""
+    clash = spark.createDataFrame([(1, rows[0][2], "old", "x")] * 3, "Page_id long, html string, Text string, node string")
+    same = html_extraction.extract(clash, model=model).collect()
+    assert [tuple(r) for r in same] == [(1, "x", got[1])] * 3
+    assert html_extraction.extract(clash.limit(0), model=model).count() == 0
 
 
 def test_license_scan(spark, docs, empty):

@@ -66,8 +66,8 @@ def test_run_packs_what_the_stages_keep(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, folder)
-    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    expected = {r.doc_id: encoder.encode([r.text or ""])[0] + np.array([0], "<u4").tobytes() for r in docs.collect()}
+    tokenizer = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")).tokenizer
+    expected = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4").tobytes() for r in docs.collect()}
     got = collections.defaultdict(list)
     for r in corpus_pipeline.run(spark, folder).collect():
         got[r.doc_id].append((r.piece, bytes(r.ids)))
