@@ -22,6 +22,9 @@ DIV0, VALUE, REF, NUM, NA, CALC = "#DIV/0!", "#VALUE!", "#REF!", "#NUM!", "#N/A"
 class Cell:
     """A value column and an error column (null where there is none)."""
 
+    #: Whether a registered function made it.
+    made = False
+
     def __init__(self, value: Column, error: Column | None = None) -> None:
         self.error = F.lit(None).cast("string") if error is None else error
         self.plain = error is None
@@ -71,6 +74,29 @@ class Cell:
     def __neg__(self):
         return 0 - self
 
+    # Comparisons: numbers come before texts and texts before booleans; texts compare without case, and
+    # an empty cell is 0, "" or FALSE, as the other side needs.
+
+    def __eq__(self, other):
+        return compare(self, other, lambda a, b: a == b)
+
+    def __ne__(self, other):
+        return compare(self, other, lambda a, b: a != b)
+
+    def __lt__(self, other):
+        return compare(self, other, lambda a, b: a < b)
+
+    def __le__(self, other):
+        return compare(self, other, lambda a, b: a <= b)
+
+    def __gt__(self, other):
+        return compare(self, other, lambda a, b: a > b)
+
+    def __ge__(self, other):
+        return compare(self, other, lambda a, b: a >= b)
+
+    __hash__ = None
+
     def __and__(self, other):
         a, b = text(self), text(other)
         return raised(F.concat(a.value, b.value), over=(a, b))
@@ -93,16 +119,41 @@ def raised(value: Column, *rules: tuple[Column, str], over: tuple[Cell, ...] = (
     return Cell(value, F.coalesce(*errors) if len(errors) > 1 else errors[0])
 
 
+#: Names of Spark's numeric types.
+_NUMERIC = "^(tinyint|smallint|int|bigint|float|double|decimal.*)$"
+
+
+def of_kind(value: Column, kinds: str) -> Column:
+    """Whether a column's type is one of a pattern; the optimiser knows, so branches for other types cost nothing."""
+    return F.typeof(value).rlike(kinds)
+
+
+def compare(x, y, op: Callable) -> Cell:
+    """``op`` of two cells by the order of kinds."""
+    a, b = cell(x), cell(y)
+    text_a, text_b, bool_a, bool_b = (of_kind(c.value, k) for k in ("^string", "^boolean$") for c in (a, b))
+    none_a, none_b = a.value.isNull(), b.value.isNull()
+    low = lambda c: F.coalesce(F.lower(c.value.try_cast("string")), F.lit(""))
+    flag = lambda c, is_bool: F.coalesce(F.when(is_bool, c.value.try_cast("string") == "true"), F.lit(False)).cast("int")
+    rank = lambda is_text, is_bool: F.when(is_bool, 2).when(is_text, 1).otherwise(0)
+    rank_a, rank_b = rank(text_a, bool_a), rank(text_b, bool_b)
+    # An empty cell takes the other's kind.
+    rank_a, rank_b = F.when(none_a & ~none_b, rank_b).otherwise(rank_a), F.when(none_b & ~none_a, rank_a).otherwise(rank_b)
+    numbers = op(number(Cell(a.value)).value, number(Cell(b.value)).value)
+    same = F.when(none_a & none_b, op(F.lit(0), F.lit(0))).when(rank_a == 2, op(flag(a, bool_a), flag(b, bool_b))).when(rank_a == 1, op(low(a), low(b))).otherwise(numbers)
+    return raised(F.when(rank_a != rank_b, op(rank_a, rank_b)).otherwise(same), over=(a, b))
+
+
 def number(x) -> Cell:
     """As a number: empty is 0, a boolean 0 or 1, text what it reads as or ``#VALUE!``."""
     c = cell(x)
     if isinstance(x, (int, float)) and not isinstance(x, bool):
         return Cell(F.lit(float(x)))
+    known = of_kind(c.value, _NUMERIC)
     trimmed = F.trim(c.value.cast("string"))
     read = F.when(F.lower(trimmed) == "true", 1.0).when(F.lower(trimmed) == "false", 0.0).when(trimmed == "", 0.0).otherwise(F.try_cast(trimmed, "double") if hasattr(F, "try_cast") else trimmed.try_cast("double"))
-    value = F.coalesce(c.value.try_cast("double"), read)
-    value = F.when(c.value.isNull(), 0.0).otherwise(value)
-    return raised(value, (c.value.isNotNull() & value.isNull(), VALUE), over=(c,))
+    value = F.when(c.value.isNull(), 0.0).when(known, c.value.try_cast("double")).otherwise(F.coalesce(c.value.try_cast("double"), read))
+    return raised(value, (~known & c.value.isNotNull() & value.isNull(), VALUE), over=(c,))
 
 
 def numeric(x) -> Cell:
@@ -137,7 +188,44 @@ class Function:
     def __call__(self, *args) -> Cell:
         if not self.low <= len(args) <= self.high:
             return Cell(F.lit(None).cast("double"), F.lit(VALUE))
-        return self.build(*args)
+        out = _bound(self.build, args) if any(isinstance(a, Cell) and a.made for a in args) else self.build(*args)
+        out.made = True
+        return out
+
+
+class Unbound(Exception):
+    """Raised by what cannot be built inside a lambda function of columns."""
+
+
+#: Whether a function is being built inside a lambda function.
+inside = [False]
+
+
+def _bound(build: Callable[..., Cell], args: tuple) -> Cell:
+    """A function of other functions' results, each named once, so that expressions grow with the formula's length."""
+    at = [i for i, a in enumerate(args) if isinstance(a, Cell) and a.made]
+
+    def body(s: Column) -> Column:
+        named = list(args)
+        for i in at:
+            named[i] = _known(s[f"c{i}"]["value"], s[f"c{i}"]["error"])
+        return build(*named).struct()
+
+    before, inside[0] = inside[0], True
+    try:
+        found = F.get(F.transform(F.array(F.struct(*(args[i].struct().alias(f"c{i}") for i in at))), body), F.lit(0))
+    except Unbound:
+        found = None
+    finally:
+        inside[0] = before
+    return build(*args) if found is None else _known(found["value"], found["error"])
+
+
+def _known(value: Column, error: Column) -> Cell:
+    """A cell whose value is null on error already."""
+    out = Cell(value)
+    out.error, out.plain = error, False
+    return out
 
 
 FUNCTIONS: dict[str, Function] = {}

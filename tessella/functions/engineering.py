@@ -9,7 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tessella.functions.cell import NUM, VALUE, Cell, function, number, raised, text
+from tessella.functions.cell import NUM, VALUE, Cell, Unbound, function, inside, number, raised, text
 from tessella.functions.math import _to_base
 
 #: Digits of each base, and how many make a negative number; fixed values.
@@ -122,7 +122,12 @@ def vectorised(f: Callable[..., float], kind: str = "double"):
 
         return pd.Series([one(*row) for row in zip(first, *rest, strict=True)], dtype="object" if kind == "string" else "float64")
 
-    return run
+    def applied(*columns: Column) -> Column:
+        if inside[0]:
+            raise Unbound  # a Python function cannot be called in a lambda function of columns
+        return run(*columns)
+
+    return applied
 
 
 def computed(*names: str, f: Callable[..., float], low: int, high: int | None = None, defaults: tuple = ()) -> None:

@@ -182,11 +182,10 @@ _ROMAN = ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "X
 @function("ROMAN", low=1, high=2)
 def roman(x, form=0):
     n = number(x)
-    rest, out = F.floor(n.value).cast("int"), F.lit("")
-    for value, sign in _ROMAN:
-        times = F.floor(rest / value).cast("int")
-        out, rest = F.concat(out, F.repeat(F.lit(sign), times)), rest - times * value
-    return raised(out, ((n.value < 0) | (n.value >= 4000), VALUE), over=(n,))
+    digit = lambda scale: F.pmod(F.floor(n.value / scale).cast("int"), F.lit(10))
+    signs = lambda one, five, ten: F.array(*map(F.lit, ("", one, 2 * one, 3 * one, one + five, five, five + one, five + 2 * one, five + 3 * one, one + ten)))
+    places = ((1000, signs("M", "", "")), (100, signs("C", "D", "M")), (10, signs("X", "L", "C")), (1, signs("I", "V", "X")))
+    return raised(F.concat(*(F.coalesce(F.get(names, digit(scale)), F.lit("")) for scale, names in places)), ((n.value < 0) | (n.value >= 4000), VALUE), over=(n,))
 
 
 @function("ARABIC")

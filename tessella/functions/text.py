@@ -205,14 +205,14 @@ def t_(x):
 @function("FIXED")
 def fixed(x, decimals=2, no_commas=False):
     n = number(x)
-    out = F.format_number(n.value, int(decimals)) if int(decimals) >= 0 else F.format_number(F.round(n.value, int(decimals)), 0)
+    out = F.format_number(F.round(n.value, int(decimals)), max(0, int(decimals)))
     return raised(F.replace(out, F.lit(","), F.lit("")) if no_commas else out, over=(n,))
 
 
 @function("DOLLAR")
 def dollar(x, decimals=2):
     n = number(x)
-    shown = F.concat(F.lit("$"), F.format_number(F.abs(n.value), max(0, int(decimals))))
+    shown = F.concat(F.lit("$"), F.format_number(F.abs(F.round(n.value, int(decimals))), max(0, int(decimals))))
     return raised(F.when(n.value < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown), over=(n,))
 
 

@@ -92,6 +92,12 @@ covariance_p = lambda y, x: F.covar_pop(_c(y), _c(x))
 covariance_s = lambda y, x: F.covar_samp(_c(y), _c(x))
 
 
+def percentiles(x, shares: list[float]) -> list[Column]:
+    """PERCENTILE.INC for each of several shares, all from one pass over a group's distinct values."""
+    found = F.percentile(_c(x), F.array(*(F.lit(float(p)) for p in shares)))
+    return [F.get(found, F.lit(i)) for i in range(len(shares))]
+
+
 def percentile_inc(x, p: float) -> Column:
     return F.percentile(_c(x), p)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.criteria import wildcard
+from tessella.plans.scratch import few, written
 
 
 def _key(df: DataFrame, name: str) -> Column:
@@ -39,7 +40,7 @@ def nearest(df: DataFrame, key: str, table: DataFrame, table_key: str, returns:
 
     Both sides go into one sorted pass for each group of ``by``, an as-of join without a range
     condition.  Without ``by`` the pass is dealt into ranges of the key, and what reaches over
-    a range's edge comes from a table with a row for each range.
+    a range's edge comes from a table with a row for each range; few rows pass through one task.
     """
     by = by or []
     side = lambda d, k, mark, cols: d.select(*by, F.col(k).alias("_k"), F.lit(mark).alias("_side"), *cols)
@@ -50,27 +51,25 @@ def nearest(df: DataFrame, key: str, table: DataFrame, table_key: str, returns:
     both = side(rows, key, 0 if larger else 1, [F.col("_df"), F.lit(None).cast(kind).alias("_row")]).unionByName(side(table, table_key, 1 if larger else 0, [F.lit(None).cast(rows.schema["_df"].dataType).alias("_df"), payload]))
     both = both.where(F.col("_k").isNotNull() | F.col("_df").isNotNull())
     if by:
-        w = Window.partitionBy(*by).orderBy("_k", "_side")
-        found = both.withColumn("_hit", _fill(w, larger))
+        found = both.withColumn("_hit", _fill(Window.partitionBy(*by), larger))
+    elif few(df.select(key)) and few(table.select(table_key)):
+        found = both.withColumn("_hit", _fill(Window.partitionBy(), larger))
     else:
-        from tessella.plans.scratch import written
-
         n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranged = written(both.repartitionByRange(n, "_k", "_side").withColumn("_part", F.spark_partition_id()), "nearest")
         edge = ranged.where("_row is not null").groupBy("_part").agg((F.min_by if larger else F.max_by)("_row", "_k").alias("_edge"))
         parts = df.sparkSession.range(n).select(F.col("id").cast("int").alias("_part"))
         over = Window.orderBy(F.col("_part").desc() if larger else F.col("_part")).rowsBetween(Window.unboundedPreceding, -1)
         edges = parts.join(edge, "_part", "left").select("_part", F.last("_edge", ignorenulls=True).over(over).alias("_edge"))
-        w = Window.partitionBy("_part").orderBy("_k", "_side")
-        found = ranged.join(F.broadcast(edges), "_part").withColumn("_hit", F.coalesce(_fill(w, larger), "_edge"))
+        found = ranged.join(F.broadcast(edges), "_part").withColumn("_hit", F.coalesce(_fill(Window.partitionBy("_part"), larger), "_edge"))
     found = found.where(F.col("_df").isNotNull())
     return found.select("_df.*", *(F.when(F.col("_k").isNotNull(), F.col(f"_hit.{r}")).alias(r) for r in returns))
 
 
 def _fill(w, larger: bool) -> Column:
-    if larger:
-        return F.first("_row", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return F.last("_row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    """The table's row last seen, going up the key or, for ``larger``, down: a frame that only grows is one pass."""
+    order = [F.desc("_k"), F.desc("_side")] if larger else ["_k", "_side"]
+    return F.last("_row", ignorenulls=True).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
 def wildcard_lookup(table: DataFrame, table_key: str, pattern: str, returns: list[str], order: list[str]) -> DataFrame:

@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.plans.scratch import written
+from tessella.plans.scratch import few, written
 
 
 def with_position(df: DataFrame, order: list[Column | str], name: str = "position") -> DataFrame:
     """``df`` with each row's place, from 1, in a total order.
 
     Rows are dealt into ranges of the order and numbered within each; the sizes of earlier
-    ranges, one number for each range, are then added.
+    ranges, one number for each range, are then added.  A small table is numbered by one task.
     """
+    if few(df):
+        return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     # The id is the range's number above 33 bits, and the row's number in it below.
@@ -35,7 +37,9 @@ def with_rank(df: DataFrame, x: str, ascending: bool = False, average: bool = Fa
 
 
 def running_total(df: DataFrame, order: list[Column | str], x: str, name: str = "running") -> DataFrame:
-    """SUM(A$1:A1) filled down: the sum of ``x`` up to each row, by ranges of the order."""
+    """SUM(A$1:A1) filled down: the sum of ``x`` up to each row, by ranges of the order; a small table in one task."""
+    if few(df):
+        return df.withColumn(name, F.coalesce(F.sum(x).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = written(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "running")
     sizes = ranged.groupBy("_part").agg(F.sum(x).alias("_s"))

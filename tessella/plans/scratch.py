@@ -13,6 +13,15 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of a few columns that one task may sort.
+FEW = 1 << 20
+
+
+def few(df: DataFrame, rows: int = FEW) -> bool:
+    """Whether ``df`` has at most so many rows; no more than one beyond are counted."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
