@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.store import keep, sized, table
 
-#: Buckets that n-grams hash into.
+#: Buckets that n-grams hash into, a power of two.
 BUCKETS = 1 << 18
 #: Lengths of the n-grams.
 NGRAMS = (1, 2)
@@ -46,15 +46,19 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _buckets(hashes: Column) -> list[Column]:
-    """For each n of ``NGRAMS``, the buckets of the n-grams in order, from the hashes of words."""
+def _bucket(gram: Column) -> Column:
+    return gram.bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+
+
+def _grams(hashes: Column) -> list[Column]:
+    """For each n of ``NGRAMS``, the hashes of the n-grams in order, from the hashes of words."""
     out, gram = [], hashes
     for n in range(1, max(NGRAMS) + 1):
         if n > 1:
             rest = F.slice(hashes, F.lit(n), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
             gram = F.zip_with(F.slice(gram, F.lit(1), F.size(rest)), rest, lambda a, b: F.xxhash64(a, b))
         if n in NGRAMS:
-            out.append(F.transform(gram, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")))
+            out.append(gram)
     return out
 
 
@@ -72,26 +76,28 @@ class Ratios:
 
     def held_out(self, grams: Column) -> Column:
         """The sum of a trusted document's ratios, in 1 / SCALE, as if it were not trusted, from its buckets in sorted order."""
+        # Each table stands in the expression once: plans and their descriptions hold its literal.
         raw, good = (F.from_json(F.lit(str(x.tolist()).replace(" ", "")), "array<long>") for x in (self.raw, self.good))
         share = (F.lit(self.n_good) - F.size(grams)) / F.lit(float(max(1, self.n_raw)))
-        # Equal buckets are neighbours; a run of them ends where another begins.
-        of = lambda b, own: own * F.rint(F.lit(float(SCALE)) * F.log((F.get(good, b) - own + F.lit(PRIOR)) / (F.get(raw, b) * share + F.lit(PRIOR))))
-        ended = lambda s: F.when(s["own"] > 0, of(s["b"], s["own"])).otherwise(0.0)
+        # Equal buckets are neighbours; a run of them ends where another begins, the last one at a bucket that is none.
+        ended = lambda s: s["own"] * F.rint(F.lit(float(SCALE)) * F.log((s["good"] - s["own"] + F.lit(PRIOR)) / (s["raw"] * share + F.lit(PRIOR))))
+        state = lambda b, own, g, r, total: F.struct(b.alias("b"), own.alias("own"), g.alias("good"), r.alias("raw"), total.alias("sum"))
+        none = F.lit(0).cast("long")
         return F.aggregate(
-            grams,
-            F.struct(F.lit(0).alias("b"), F.lit(0).alias("own"), F.lit(0.0).alias("sum")),
-            lambda s, b: F.when((s["b"] == b) & (s["own"] > 0), F.struct(b.alias("b"), (s["own"] + 1).alias("own"), s["sum"].alias("sum"))).otherwise(F.struct(b.alias("b"), F.lit(1).alias("own"), (s["sum"] + ended(s)).alias("sum"))),
-            lambda s: s["sum"] + ended(s),
+            F.concat(grams, F.array(F.lit(-1))),
+            state(F.lit(-1), F.lit(0), none, none, F.lit(0.0)),
+            lambda s, b: F.when(s["b"] == b, state(b, s["own"] + 1, s["good"], s["raw"], s["sum"])).otherwise(state(b, F.lit(1), F.coalesce(F.get(good, b), none), F.coalesce(F.get(raw, b), none), s["sum"] + F.when(s["own"] > 0, ended(s)).otherwise(0.0))),
+            lambda s: s["sum"],
         )
 
 
 def ratio_table(marked: DataFrame) -> Ratios:
     """Counts over ``marked`` (good, text); ``good`` is null for rows that are not trusted."""
     hashed = marked.select("good", _hashes(_words(F.col("text"))).alias("h"))
-    grams = hashed.select("good", F.explode(F.concat(*_buckets(F.col("h")))).alias("b"))
-    rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good")).collect()  # BUCKETS rows at most
+    grams = hashed.select("good", F.explode(F.concat(*_grams(F.col("h")))).alias("gram"))
+    counts = grams.select("good", _bucket(F.col("gram")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count("good").alias("good"))
     raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in rows:
+    for r in counts.toLocalIterator():  # BUCKETS rows at most
         raw[r.b], good[r.b] = r.raw, r.good
     return Ratios(raw, good)
 
@@ -107,7 +113,7 @@ def least_scores(marked: DataFrame, ratios: Ratios, quantile: float) -> dict[tup
     ``marked`` has (good, text, lang).  At most that share of a group's trusted documents is below its least score.
     """
     hashed = marked.where("good is not null").select("lang", _hashes(_words(F.col("text"))).alias("h"))
-    long = hashed.where(F.size("h") >= LEAST_WORDS).select("lang", _band(F.size("h")).alias("band"), F.sort_array(F.concat(*_buckets(F.col("h")))).alias("grams"))
+    long = hashed.where(F.size("h") >= LEAST_WORDS).select("lang", _band(F.size("h")).alias("band"), F.sort_array(F.transform(F.concat(*_grams(F.col("h"))), _bucket)).alias("grams"))
     score = F.floor(ratios.held_out(F.col("grams")) / F.size("grams")).cast("int").alias("score")
     counts = long.select("lang", "band", score).groupBy("lang", "band", "score").agg(F.count(F.lit(1)).alias("n"))
     key = lambda lang, band: F.struct(F.lit(lang).cast("string").alias("lang") if lang is None else F.col(lang).alias("lang"), F.lit(band).cast("int").alias("band") if band is None else F.col(band).alias("band"))
@@ -155,9 +161,9 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
         _hashes(F.col("words")).alias("h"),
     )
     triples = F.slice(F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i + 1), F.get("h", i + 2))), F.lit(1), F.greatest(F.size("h") - 2, F.lit(0)))
-    total, grams = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for n, b in zip(NGRAMS, _buckets(F.col("h")), strict=True):
-        total = total + F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + F.get(lookup, x))
+    total = F.aggregate(F.concat(*_grams(F.col("h"))), F.lit(0).cast("long"), lambda s, x: s + F.get(lookup, _bucket(x)))
+    grams = F.lit(0).cast("long")
+    for n in NGRAMS:
         grams = grams + F.greatest(F.col("n_words") - (n - 1), F.lit(0))
     t = t.select(
         *("row", "lang", "n_words", "word_chars", "n_symbols"),
