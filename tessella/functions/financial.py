@@ -364,3 +364,38 @@ def accrint(issue, first_interest, settlement, rate_, par, frequency: int, basis
     i, s = (day(cell(d).value) for d in (issue, settlement))
     r, p = number(rate_), number(par)
     return raised(p.value * r.value * yearfrac_(i, s, basis), ((i >= s) | (r.value <= 0) | (p.value <= 0), NUM), over=(r, p))
+
+
+def _amortised(name: str, share: Callable[..., Column]) -> None:
+    @function(name, low=6, high=7)
+    def build(cost, purchased, first_end, salvage, period, rate_, basis: int = 0):
+        a, b = day(cell(purchased).value), day(cell(first_end).value)
+        c, s, p, r = (number(x) for x in (cost, salvage, period, rate_))
+        out, bad = share(c.value, s.value, F.floor(p.value), r.value, yearfrac_(a, b, basis))
+        bad = bad | (r.value <= 0) | (p.value < 0) | (s.value < 0) | (s.value > c.value) | (a > b) | F.lit(basis not in (0, 1, 3, 4))
+        return raised(out, (bad, NUM), over=(c, s, p, r))
+
+
+def _linear(cost: Column, salvage: Column, period: Column, rate: Column, part: Column) -> tuple[Column, Column]:
+    """The same each period, but a part in the first and what is left in the last."""
+    each, first = cost * rate, cost * rate * part
+    left = cost - salvage - first - each * (period - 1)
+    return F.when(period == 0, first).otherwise(F.greatest(F.lit(0.0), F.least(each, left))), F.lit(False)
+
+
+def _half_up(x: Column) -> Column:
+    return F.floor(x + 0.5).cast("double")
+
+
+def _degressive(cost: Column, salvage: Column, period: Column, rate: Column, part: Column) -> tuple[Column, Column]:
+    """A share of the book value each period, in whole numbers, by a coefficient that follows from the life; fixed values."""
+    life = 1 / rate
+    by = F.when((life >= 3) & (life <= 4), 1.5).when((life >= 5) & (life <= 6), 2.0).when(life > 6, 2.5)
+    first = _half_up(cost * rate * by * part)
+    step = lambda s: F.least(_half_up(s["book"] * rate * by), F.greatest(F.lit(0.0), s["book"] - salvage))
+    end = F.aggregate(_steps(F.lit(1), period), F.struct((cost - first).alias("book"), first.alias("last")), lambda s, _: F.struct((s["book"] - step(s)).alias("book"), step(s).alias("last")))
+    return end["last"], by.isNull()
+
+
+_amortised("AMORLINC", _linear)
+_amortised("AMORDEGRC", _degressive)

@@ -293,3 +293,24 @@ def text_(x, code: str):
     if whole > 1:
         out = F.when(F.length(out) < whole + (decimals + 1 if decimals else 0), F.lpad(out, whole + (decimals + 1 if decimals else 0), "0")).otherwise(out)
     return raised(F.concat(out, F.lit("%")) if "%" in code else out, over=(n,))
+
+
+def _letters(n: Column) -> Column:
+    """Letters of a column number up to 18,278."""
+    sign = lambda k: F.char(F.lit(65) + F.pmod(k - 1, F.lit(26)))
+    second, third = F.floor((n - 1) / 26), F.floor((F.floor((n - 1) / 26) - 1) / 26)
+    return F.concat(F.when(third > 0, sign(third)).otherwise(""), F.when(second > 0, sign(second)).otherwise(""), sign(n))
+
+
+@function("ADDRESS", low=2, high=5)
+def address(row, column, kind: int = 1, a1: bool = True, sheet: str | None = None):
+    """``kind`` 1 is absolute, 2 of the row, 3 of the column, 4 of neither."""
+    r, k = number(row), number(column)
+    row_, column_ = F.floor(r.value).cast("long"), F.floor(k.value).cast("long")
+    if a1:
+        out = F.concat(F.lit("$" if kind in (1, 3) else ""), _letters(column_), F.lit("$" if kind in (1, 2) else ""), row_.cast("string"))
+    else:
+        own = lambda name, x, fixed: F.concat(F.lit(name if fixed else f"{name}["), x.cast("string"), F.lit("" if fixed else "]"))
+        out = F.concat(own("R", row_, kind in (1, 2)), own("C", column_, kind in (1, 3)))
+    named = out if sheet is None else F.concat(F.lit(sheet + "!"), out)
+    return raised(named, ((row_ < 1) | (column_ < 1) | F.lit(kind not in (1, 2, 3, 4)), VALUE), over=(r, k))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tessella.operators.ranking import with_position
 
@@ -112,3 +115,80 @@ def lag(x: str, order: list[str], by: list[str] | None = None, n: int = 1) -> Co
 def moving(x: str, order: list[str], size: int, by: list[str]) -> Column:
     """AVERAGE over a frame of ``size`` rows that ends at the row."""
     return F.avg(x).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-(size - 1), 0))
+
+
+def choose_columns(df: DataFrame, columns: list[int]) -> DataFrame:
+    """CHOOSECOLS: columns by place, from 1 or negative from the end; one that comes again gets a number behind its name."""
+    names, seen = [df.columns[c - 1 if c > 0 else c] for c in columns], []
+    for n in names:
+        seen.append(f"{n}_{names[: len(seen)].count(n) + 1}" if n in names[: len(seen)] else n)
+    return df.select(*(F.col(f"`{n}`").alias(s) for n, s in zip(names, seen, strict=True)))
+
+
+def expand(df: DataFrame, rows: int, columns: list[str], order: list[str], pad=None) -> DataFrame:
+    """EXPAND: ``df`` with so many rows and with columns of these names, padded (by null where the pad is not of a column's type); ``position`` is a row's place."""
+    wide = df
+    for c in columns:
+        if c not in df.columns:
+            wide = wide.withColumn(c, F.lit(pad))
+    placed = with_position(wide, order)
+    more = df.sparkSession.range(1, rows + 1).select(F.col("id").alias("position"))
+    filled = more.join(placed.withColumn("_there", F.lit(True)), "position", "left")
+    kinds = dict(placed.dtypes)
+    return filled.select("position", *(F.when(F.col("_there"), F.col(c)).otherwise(F.lit(pad).try_cast(kinds[c])).alias(c) for c in placed.columns if c != "position"))
+
+
+def torow(df: DataFrame, columns: list[str], order: list[str], ignore_empty: bool = False) -> DataFrame:
+    """TOROW: (column, value) with places of a single row, read row by row; a row of any length is kept long."""
+    long = tocol(df, columns, order, ignore_empty)
+    return with_position(long, [*order, "column"], "at").select(F.col("at").alias("column"), "value")
+
+
+def wrapcols(df: DataFrame, x: str, height: int, order: list[str]) -> DataFrame:
+    """WRAPCOLS: (row, column, value) of a column cut into columns of a height."""
+    placed = with_position(df.select(x, *[o for o in order if o != x]), order)
+    at = F.col("position") - 1
+    return placed.select((at % height + 1).alias("row"), (F.floor(at / height) + 1).alias("column"), F.col(x).alias("value"))
+
+
+def bycol(df: DataFrame, columns: list[str], f) -> DataFrame:
+    """BYCOL: one row with ``f``, a function of a column that gives an aggregate, of each column; one scan."""
+    return df.agg(*(f(F.col(c)).alias(c) for c in columns))
+
+
+def makearray(spark, rows: int, columns: int, f) -> DataFrame:
+    """MAKEARRAY: a cell for each row and column number, by a function of these two columns."""
+    return spark.range(1, rows + 1).select(F.col("id").alias("row"), *(f(F.col("id"), F.lit(c)).alias(f"c{c}") for c in range(1, columns + 1)))
+
+
+def randarray(spark, rows: int, columns: int = 1, low: float = 0.0, high: float = 1.0, whole: bool = False, seed: int = 42) -> DataFrame:
+    """RANDARRAY: random numbers from ``low`` to ``high``, whole ones with both ends included."""
+    draw = lambda c: F.floor(F.rand(seed + c) * (high - low + 1)).cast("double") + low if whole else F.rand(seed + c) * (high - low) + low
+    return spark.range(1, rows + 1).select(F.col("id").alias("row"), *(draw(c).alias(f"c{c}") for c in range(1, columns + 1)))
+
+
+def munit(spark, n: int) -> DataFrame:
+    """MUNIT in long form: (i, j, value)."""
+    return spark.range(1, n + 1).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(n)).cast("array<long>")).alias("j")).withColumn("value", (F.col("i") == F.col("j")).cast("double"))
+
+
+def _square(matrix) -> np.ndarray | None:
+    a = np.array([list(r) for r in matrix], float) if matrix is not None else np.zeros((0, 1))
+    return a if a.ndim == 2 and a.shape[0] == a.shape[1] and len(a) else None
+
+
+@F.pandas_udf(DoubleType())
+def mdeterm(matrix: pd.Series) -> pd.Series:
+    """MDETERM of a column of matrices (array<array<double>>), null for one that is not square."""
+    return pd.Series([None if (a := _square(m)) is None else float(np.linalg.det(a)) for m in matrix], dtype="float64")
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def minverse(matrix: pd.Series) -> pd.Series:
+    """MINVERSE of a column of matrices, null for one that is singular or not square."""
+
+    def one(m):
+        a = _square(m)
+        return None if a is None or abs(np.linalg.det(a)) < 1e-12 else np.linalg.inv(a).tolist()
+
+    return pd.Series([one(m) for m in matrix], dtype="object")

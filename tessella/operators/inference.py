@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +81,24 @@ def growth(df: DataFrame, y: str, x: str, new: DataFrame, const: bool = True, na
     m, b = _line(F.ln(y), F.col(x), const)
     fit = F.broadcast(df.agg(m.alias("_m"), b.alias("_b")))  # one row
     return new.join(fit).withColumn(name, F.exp(F.col("_b") + F.col("_m") * F.col(x))).drop("_m", "_b")
+
+
+def linest_many(df: DataFrame, y: str, xs: list[str], const: bool = True) -> dict[str, float]:
+    """LINEST of several regressors: coefficients by name, the constant as ``""``; sums of products in one scan.
+
+    Rows with a null do not count.  Of a singular system, the least solution.
+    """
+    full = df.where(" and ".join(f"`{c}` is not null" for c in [y, *xs])).select(F.col(y).cast("double").alias("y"), *(F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)))
+    names = [f"x{i}" for i in range(len(xs))] + (["one"] if const else [])
+    full = full.withColumn("one", F.lit(1.0))
+    pairs = [(a, b) for i, a in enumerate(names) for b in [*names[i:], "y"]]
+    row = full.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs)).first()
+    left = np.array([[row[f"{a}_{b}"] if f"{a}_{b}" in row else row[f"{b}_{a}"] for b in names] for a in names], float)
+    found = np.linalg.lstsq(left, np.array([row[f"{a}_y"] for a in names], float), rcond=None)[0]
+    return dict(zip([*xs, *([""] if const else [])], map(float, found), strict=True))
+
+
+def avedev(df: DataFrame, x: str) -> DataFrame:
+    """AVEDEV: the mean distance from the mean, one row."""
+    mean = F.broadcast(df.agg(F.avg(x).alias("_m")))  # one row
+    return df.select(x).join(mean).agg(F.avg(F.abs(F.col(x) - F.col("_m"))).alias("avedev"))

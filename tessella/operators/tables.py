@@ -81,3 +81,46 @@ def merge_template(df: DataFrame, values: dict[str, str]) -> DataFrame:
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """A window of rows."""
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def create_table(columns: dict[str, str], spark) -> DataFrame:
+    """An empty table of names and types."""
+    return spark.createDataFrame([], ", ".join(f"`{n}` {t}" for n, t in columns.items()))
+
+
+def rename_columns(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.withColumnsRenamed(names)
+
+
+def delete_columns(df: DataFrame, at: int, count: int = 1) -> DataFrame:
+    """Without ``count`` columns from a place on, from 1."""
+    return df.select(*df.columns[: at - 1], *df.columns[at - 1 + count :])
+
+
+def resize(df: DataFrame, row: str, high: int, columns: list[str]) -> DataFrame:
+    """A table cut, or widened by empty columns, to rows up to ``high`` and these columns."""
+    return df.where(F.col(row) <= high).select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
+
+
+def fill_formula(df: DataFrame, x: str, rows: Column, formula: Column) -> DataFrame:
+    """A formula filled into some cells of a column; the others stay."""
+    return df.withColumn(x, F.when(F.coalesce(rows, F.lit(False)), formula).otherwise(F.col(x)) if x in df.columns else F.when(F.coalesce(rows, F.lit(False)), formula))
+
+
+def define_name(df: DataFrame, name: str) -> DataFrame:
+    """A name for a table or range, for SQL of the session."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
+def merge_cells(df: DataFrame, row: str, low: int, high: int, columns: list[str]) -> DataFrame:
+    """Merged cells keep the value of the first row and column alone."""
+    inside = F.col(row).between(low, high)
+    return df.select(*(F.when(inside & ~((F.col(row) == low) & F.lit(c == columns[0])), None).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def remove_duplicates(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """The first row, by ``order``, of each combination of some columns."""
+    rest = [c for c in df.columns if c not in columns]
+    first = df.groupBy(*columns).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return first.select(*(F.col(c) if c in columns else F.col(f"_row.{c}").alias(c) for c in df.columns))

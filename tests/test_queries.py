@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from tessella.plans import function_queries, queries  # noqa: F401  these register queries
+from tessella.plans import function_queries, queries, table_queries  # noqa: F401  these register queries
 from tessella.plans import registry
 
 DATA = "/root/testdata/sf0.001"
