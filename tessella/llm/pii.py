@@ -1,13 +1,16 @@
 """Personal identifiers: fixed forms, and unseen forms found by the contexts of known ones.
 
-The fixed forms are seeds.  The words before a seed are its patterns; a pattern is worth what
-share of its occurrences in the whole corpus is followed by good instances of its kind, and
-an instance is as good as its patterns make it.  Spark scores the two sides of this graph in
-turns, and loosely shaped strings after patterns of high confidence become identifiers too.
+The fixed forms are seeds, and loosely shaped strings are candidates.  The words before either
+are patterns; a pattern is worth what share of its occurrences in the whole corpus is followed
+by good instances of its kind, and an instance is as good as its confident patterns make it.
+Spark scores the two sides of this graph in turns: seeds make the first patterns confident,
+these make candidates good, and candidates that are good make further patterns confident,
+which need not precede any seed.  Candidates after confident patterns become identifiers too.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,7 +29,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs so many different seeds, in so many documents, and such a share of its occurrences.
 SUPPORT = 5
 CONFIDENCE = 0.8
-ROUNDS = 3
+ROUNDS = 6
+#: What a candidate is worth to a pattern before a confident pattern speaks for it.
+UNKNOWN = 0.5
+#: Characters before an identifier that are looked at for the words of its patterns; longer words give none.
+LOOK_BACK = 120
 #: Documents with identifiers whose places may be broadcast for redaction; more are joined by shuffling.
 FEW_SPANS = 1 << 17
 
@@ -87,24 +94,32 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def loose_spans(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """(start, end, kind) of loosely shaped strings that no fixed form overlaps."""
     digits = _DIGIT.search(text)
-    out, covered = [], [(s, e) for s, e, _ in taken]
+    out, covered = [], []
+    for s, e, _ in sorted(taken):
+        if covered and s <= covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(e, covered[-1][1]))
+        else:
+            covered.append((s, e))
     for kind in KINDS:
         if (kind != "email" and digits) or (kind == "email" and _HINT.search(text)):
             for m in _LOOSE[kind].finditer(text):
                 s, e = m.span()
-                if all(e <= a or s >= b for a, b in covered) and (kind != "phone" or 9 <= sum(c.isdigit() for c in m.group()) <= 15):
+                at = bisect.bisect(covered, (s, e))
+                free = (at == 0 or covered[at - 1][1] <= s) and (at == len(covered) or covered[at][0] >= e)
+                if free and (kind != "phone" or 9 <= sum(c.isdigit() for c in m.group()) <= 15):
                     out.append((s, e, kind))
-                    covered.append((s, e))
+                    covered.insert(at, (s, e))
     return out
 
 
 def _contexts(text: str, start: int) -> list[str]:
     """The one and the two words that stand before a place, lower-cased (A-Z)."""
-    m = _BEFORE.search(text, max(0, start - 120), start)
-    if not m or m.start(2) == max(0, start - 120) > 0:
+    low = max(0, start - LOOK_BACK)
+    m = _BEFORE.search(text, low, start)
+    if not m or m.start(2) == low > 0:
         return []
     lower = lambda x: x.encode().lower().decode()  # noqa: E731  A-Z alone
-    return [lower(m[2])] + ([lower(f"{m[1]} {m[2]}")] if m[1] and m.start(1) > max(0, start - 120) else [])
+    return [lower(m[2])] + ([lower(f"{m[1]} {m[2]}")] if m[1] and m.start(1) > low else [])
 
 
 def pattern_hash(words: list[str]) -> np.ndarray:
@@ -167,22 +182,26 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataF
 
 
 def confident_patterns(docs: DataFrame, found: DataFrame, text_col: str, rounds: int, support: int, confidence: float) -> DataFrame:
-    """(kind, h) of patterns that scoring in turns leaves at ``confidence`` or more."""
-    edges = found.select("id", F.explode("found").alias("x")).select("id", "x.kind", "x.h", "x.value", "x.seed")
-    edges = keep(edges.groupBy("kind", "h", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"), F.max("id").alias("id")), "edges")
-    seeded = edges.where("seed").groupBy("kind", "h").agg(F.count(F.lit(1)).alias("seeds"), F.approx_count_distinct("id").alias("docs")).where((F.col("seeds") >= support) & (F.col("docs") >= support))
-    totals = pattern_totals(docs, seeded, text_col)
-    patterns = keep(seeded.join(totals, "h").select("kind", "h", "total"), "patterns")
+    """(kind, h) of patterns that scoring in turns leaves at ``confidence`` or more, until two turns add none."""
+    edges = found.select("key", F.explode("found").alias("x")).select("key", "x.kind", "x.h", "x.value", "x.seed")
+    edges = keep(edges.groupBy("kind", "h", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed"), F.max("key").alias("key")), "edges")
+    several = edges.groupBy("kind", "h").agg(F.count(F.lit(1)).alias("values"), F.approx_count_distinct("key").alias("docs"), F.sum("n").alias("most")).where((F.col("values") >= support) & (F.col("docs") >= support))
+    # Were all its instances good, a pattern would be worth this at most.
+    patterns = keep(several.join(pattern_totals(docs, several, text_col), "h").where(F.col("most") >= confidence * F.col("total")).select("kind", "h", "total"), "patterns")
     edges = edges.join(patterns.select("kind", "h"), ["kind", "h"], "left_semi")
-    instances = edges.select("kind", "value", F.col("seed").cast("double").alias("good")).groupBy("kind", "value").agg(F.max("good").alias("good"))
-    scored = patterns.withColumn("score", F.lit(0.0))
-    for _ in range(rounds):
-        worth = edges.join(instances, ["kind", "value"]).groupBy("kind", "h").agg(F.sum(F.col("n") * F.col("good")).alias("worth"))
-        scored = keep(patterns.join(worth, ["kind", "h"]).select("kind", "h", "total", F.least(F.lit(1.0), F.col("worth") / F.col("total")).alias("score")), "patterns")
-        # An instance is bad only if all its patterns are; seeds stay good.
-        miss = F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))
-        instances = keep(edges.join(scored, ["kind", "h"]).groupBy("kind", "value").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - miss).alias("good")), "instances")
-    return scored.where(F.col("score") >= confidence).select("kind", "h")
+    good = edges.select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(UNKNOWN).alias("good")).groupBy("kind", "value").agg(F.max("good").alias("good"))
+    confident, known = patterns.select("kind", "h").limit(0), [-1, 0]
+    for _ in range(0 if patterns.isEmpty() else rounds):
+        scores = edges.join(good, ["kind", "value"]).groupBy("kind", "h").agg(F.sum(F.col("n") * F.col("good")).alias("worth"), F.count_if(F.col("good") >= confidence).alias("supporting"))
+        score = F.least(F.lit(1.0), F.col("worth") / F.col("total"))
+        confident = keep(patterns.join(scores, ["kind", "h"]).select("kind", "h", score.alias("score"), "supporting").where((F.col("score") >= confidence) & (F.col("supporting") >= support)), "confident")
+        known.append(confident.count())
+        if known[-1] == known[-2] == known[-3]:
+            break
+        # An instance is bad only if all its confident patterns are; seeds stay good.
+        miss = F.exp(F.sum(F.log1p(-F.least(F.coalesce("score", F.lit(0.0)), F.lit(0.999)))))
+        good = keep(edges.join(confident, ["kind", "h"], "left").groupBy("kind", "value").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(F.greatest(F.lit(UNKNOWN), 1 - miss)).alias("good")), "instances")
+    return confident.select("kind", "h")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -190,7 +209,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
 
     Places count code points, the end excluded; spans go by start, then by kind as in
     ``KINDS``.  A null or empty text has none.  Each row has its own result, so rows may share
-    an id or have none; equal rows have equal results.
+    an id or have none; equal rows have equal results.  Words longer than ``LOOK_BACK``
+    characters give no pattern.  A table without identifiers, or an empty one, has no patterns.
     """
     return keyed(docs, id_col, text_col, rounds, support, confidence).select(F.col("id").alias(id_col), "base", "spans")
 

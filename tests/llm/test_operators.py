@@ -217,6 +217,22 @@ def test_pii_patterns_find_unseen_forms(spark):
     assert "Telephone: <PHONE> and" in out[0] and "Telephone: <PHONE> and" in out[99] and out[100] == rows[-1][1]
 
 
+def test_pii_patterns_come_from_found_instances_too(spark):
+    """Numbers in unseen forms after a seeded pattern make a second pattern confident, which has no seed at all."""
+    loose = [f"({200 + i}) 555-{1000 + i}" for i in range(40)]
+    rows = [(i, f"call us. Telephone: +1 (743) 555-{1000 + i} and more words") for i in range(40)]
+    rows += [(100 + i, f"call us. Telephone: {loose[i]} and more words") for i in range(20)]
+    rows += [(200 + i, f"write to. Fernsprecher: {loose[i]} or so") for i in range(20)]  # found before
+    rows += [(300 + i, f"write to. Fernsprecher: {loose[20 + i]} or so") for i in range(1)]  # in no other place
+    rows += [(400 + i, f"the ratio was {loose[30 + i]} in all") for i in range(10)] + [(500 + i, "the ratio was small in all") for i in range(20)]
+    rows += [(None, f"call us. Telephone: {loose[0]} and"), (None, f"call us. Telephone: {loose[0]} and"), (607, None), (608, "")]
+    spans = {r.doc_id: [(x.start, x.end) for x in r.spans] for r in pii.find(frame(spark, rows)).collect()}
+    text = dict(rows)
+    unseen = [*range(100, 120), *range(200, 220), 300]
+    caught = sum(len(spans[i]) == 1 and text[i][spans[i][0][0] : spans[i][0][1]] in loose for i in unseen)
+    assert caught >= 0.9 * len(unseen) and not any(spans[i] for i in [*range(400, 410), *range(500, 520), 607, 608])
+
+
 def test_redaction_of_rows_that_share_an_id(spark):
     texts = ["mail to a.b@c.org or to x.y@z.com now, and more words", "clean words that are long enough to hold all places of the others", None, "", "no mail here"]
     seeds = [(i, f"something here. Telephone: +1 (743) 555-{1000 + i} and more words follow the number") for i in range(30)]
