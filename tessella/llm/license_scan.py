@@ -1,9 +1,11 @@
 """Licence notices in texts, in DataFrame functions alone.
 
-A paragraph (line) is classified by multinomial logistic regression over hashed word uni- and
-bigrams, with a class for everything that is no notice.  The model is fitted on notices made
+A paragraph is a line, and also a run of lines that go on with each other: wrapped notices are
+found in the latter.  It is classified by multinomial logistic regression over hashed word uni-
+and bigrams, with a class for everything that is no notice.  The model is fitted on notices made
 from the templates below and on a bounded sample of other paragraphs; its temperature is
-calibrated on held-out ones.  A predicted family counts only if one of its templates agrees.
+calibrated on held-out ones and on notices that lack words.  A predicted family counts only if
+one of its templates agrees.
 """
 
 from __future__ import annotations
@@ -73,6 +75,20 @@ _OTHER = (
 )
 
 
+#: A line goes on with the one before it if that ends in a letter, digit or sign that ends no sentence; signs of comments do not count.
+_GOES_ON = r"""(?<=[A-Za-z0-9,;:)"'])[ \t]*\n[0-9]+\x02[ \t]*(?:(?:#+|//+|\*+|--|;+|>+)[ \t]+)?(?=[A-Za-z0-9("'])"""
+#: Texts without any of these words have no wrapped notice.
+_HINT = "licen|copyright|permi|redistrib|warrant|reserved|public domain|software"
+
+
+def _wrapped(text: Column) -> Column:
+    """(i, w): the words of each run of lines that go on with each other, with the place of its first line."""
+    numbered = F.array_join(F.transform(F.split(text, "\n"), lambda x, i: F.concat(i.cast("string"), F.lit("\x02"), x)), "\n")
+    runs = F.filter(F.split(F.regexp_replace(numbered, _GOES_ON, "\x01"), "\n"), lambda x: x.contains("\x01"))
+    made = F.transform(runs, lambda x: F.struct(F.substring_index(x, "\x02", 1).cast("int").alias("i"), _paragraph_words(F.substring_index(x, "\x02", -1)).alias("w")))
+    return F.when(F.lower(text).rlike(_HINT), made).otherwise(F.array().cast("array<struct<i:int,w:array<string>>>"))
+
+
 def _paragraph_words(line: Column) -> Column:
     return F.split(F.btrim(F.regexp_replace(F.lower(line), "[^a-z0-9]+", " ")), " ")
 
@@ -91,15 +107,20 @@ def training_notices() -> list[tuple[str, str]]:
     return out + [(" ".join(x for x in (b, t) if x), "none") for t in _OTHER for b in _BEFORE]
 
 
+def held_out_notices() -> list[tuple[str, str]]:
+    """(text, family) of notices that lack every fourth word, from the first, second, third or fourth on."""
+    lacking = lambda words, k: " ".join(w for i, w in enumerate(words) if i % 4 != k)
+    return [(lacking(t.split(), k), family) for family, texts in TEMPLATES.items() for t in texts for k in range(4)] + [(lacking(t.split(), k), "none") for t in _OTHER for k in range(4)]
+
+
 class Model:
     """Weights of each family by bucket, biases, and a temperature."""
 
-    def __init__(self, grams: list[list[int]], families: list[str], made: int, rounds: int = 250, penalty: float = 2e-4) -> None:
+    def __init__(self, grams: list[list[int]], families: list[str], made: int, held: np.ndarray, rounds: int = 250, penalty: float = 2e-4) -> None:
         # Buckets that no notice uses say nothing.
         used = np.array(sorted({b for g in grams[:made] for b in g}))
         x = np.stack([np.isin(used, g) for g in grams]).astype(np.float32)
         y = np.array([FAMILIES.index(f) for f in families])
-        held = np.arange(len(y)) % 5 == 0
         counts = np.bincount(y[~held], minlength=len(FAMILIES))
         weight = 1 / np.maximum(1, counts[y[~held]]) / len(FAMILIES)
         w, b = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
@@ -125,18 +146,25 @@ class Model:
 
 
 def fit(docs: DataFrame, text_col: str, sample: int = SAMPLE) -> Model:
-    """Fit on made notices and on paragraphs of at most ``sample`` documents that hold no word of theirs."""
+    """Fit on made notices and on paragraphs of at most ``sample`` documents that hold no word of theirs.
+
+    The documents with the least hashes of their texts are taken, and of each a line that the
+    hash chooses, so the sample does not depend on how the table is partitioned.
+    """
     spark = docs.sparkSession
-    made = training_notices()
+    learnt, lacking = training_notices(), held_out_notices()
+    made = learnt + lacking
     known = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], "i int, t string").select("i", _grams(_paragraph_words(F.col("t"))).alias("g"))
     grams = [list(r.g) for r in sorted(known.collect(), key=lambda r: r.i)]
     families = [f for _, f in made]
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.get(F.split(text_col, "\n"), F.lit(0)).alias("line"))
-    plain = lines.where(~F.lower("line").rlike("licen|copyright|permi|redistrib|warrant|rights|public")).select(_grams(_paragraph_words(F.col("line"))).alias("g"))
-    for r in plain.limit(sample).collect():
+    hashed = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("hash"), F.split(text_col, "\n").alias("lines"))
+    lines = hashed.select("hash", F.get("lines", F.pmod("hash", F.size("lines")).cast("int")).alias("line"))
+    plain = lines.where(~F.lower("line").rlike("licen|copyright|permi|redistrib|warrant|rights|public"))
+    for r in plain.orderBy("hash", "line").limit(sample).select(_grams(_paragraph_words(F.col("line"))).alias("g")).collect():
         grams.append(list(r.g))
         families.append("none")
-    return Model(grams, families, len(made))
+    at = np.arange(len(grams))
+    return Model(grams, families, len(learnt), np.where(at < len(made), at >= len(learnt), at % 5 == 0))
 
 
 def _literal(values) -> Column:
@@ -147,37 +175,46 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     """(id, n_paragraphs, notices) of each row of ``docs``; a notice is (paragraph, family, probability, agreement, confirmed).
 
     Paragraphs are the lines that have a letter or digit (ASCII), counted from 0 over all
-    lines.  A null or empty text has none.  Each row has its own result, so rows may share an
-    id or have none.  Notices that no template confirms are listed as such.
+    lines.  A notice over several lines that go on with each other is listed by its first line,
+    if none of its family is confirmed in a single line.  A null or empty text has none.  Each
+    row has its own result, so rows may repeat, share an id or have none.  Of families that are
+    equally likely the first in ``FAMILIES`` counts.  Notices that no template confirms are
+    listed as such.
     """
     model = model or fit(docs, text_col)
     cue = _literal(np.ceil(SCALE * model.cue))
     tables = [_literal(SCALE * model.weights[:, k]) for k in range(len(FAMILIES))]
     lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     words = F.transform(lines, _paragraph_words)
-    t = docs.select(F.col(id_col).alias("id"), words.alias("words"))
-    t = t.select("id", F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))).alias("words"))
-    t = t.select("id", F.filter("words", lambda p: (F.size(p["w"]) > 0) & (F.get(p["w"], 0) != "")).alias("words"))
+    t = docs.select(F.col(id_col).alias("id"), words.alias("words"), _wrapped(F.coalesce(F.col(text_col), F.lit(""))).alias("runs"))
+    t = t.select("id", "runs", F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))).alias("words"))
+    t = t.select("id", "runs", F.filter("words", lambda p: (F.size(p["w"]) > 0) & (F.get(p["w"], 0) != "")).alias("words"))
+    single = F.transform("words", lambda p: F.struct(p["i"].alias("i"), p["w"].alias("w"), F.lit(False).alias("run")))
+    runs = F.transform("runs", lambda p: F.struct(p["i"].alias("i"), p["w"].alias("w"), F.lit(True).alias("run")))
     # The exact bound first: few paragraphs have cues enough to be of any family.
     bound = lambda w: F.aggregate(_grams(w), F.lit(0), lambda s, g: s + F.get(cue, g)) >= int(np.floor(SCALE * model.least))
-    t = t.select("id", F.size("words").cast("long").alias("n_paragraphs"), F.filter("words", lambda p: bound(p["w"])).alias("likely"))
+    t = t.select("id", F.size("words").cast("long").alias("n_paragraphs"), F.filter(F.concat(single, runs), lambda p: bound(p["w"])).alias("likely"))
     # Only rows with such paragraphs go on to all families.
-    t = t.withColumn("likely", F.transform("likely", lambda p: F.struct(p["i"].alias("i"), p["w"].alias("w"), _grams(p["w"]).alias("g"))))
+    t = t.withColumn("likely", F.transform("likely", lambda p: F.struct(p["i"].alias("i"), p["w"].alias("w"), p["run"].alias("run"), _grams(p["w"]).alias("g"))))
 
     def total(grams: Column, k: int) -> Column:
         return F.aggregate(grams, F.lit(0), lambda s, g: s + F.get(tables[k], g)) / F.lit(float(SCALE)) + F.lit(float(model.bias[k]))
 
     z = lambda p: F.array(*(total(p["g"], k) for k in range(len(FAMILIES))))
-    t = t.withColumn("scored", F.transform("likely", lambda p: F.struct(p["i"].alias("i"), p["w"].alias("w"), z(p).alias("z")))).drop("likely")
+    t = t.withColumn("scored", F.transform("likely", lambda p: F.struct(p["i"].alias("i"), p["w"].alias("w"), p["run"].alias("run"), z(p).alias("z")))).drop("likely")
     best = lambda p: F.array_max(p["z"])
     family = lambda p: F.get(F.array(*map(F.lit, FAMILIES)), (F.array_position(p["z"], best(p)) - 1).cast("int"))
     sure = lambda p: 1 / F.aggregate(p["z"], F.lit(0.0), lambda s, x: s + F.exp((x - best(p)) * model.temperature))
-    t = t.withColumn("named", F.transform("scored", lambda p: F.struct(p["i"].alias("i"), p["w"].alias("w"), family(p).alias("family"), sure(p).alias("p"))))
+    t = t.withColumn("named", F.transform("scored", lambda p: F.struct(p["i"].alias("i"), p["w"].alias("w"), p["run"].alias("run"), family(p).alias("family"), sure(p).alias("p"))))
     t = t.withColumn("named", F.filter("named", lambda p: (p["family"] != "none") & (p["p"] >= CERTAIN))).drop("scored")
     known = F.array(*(F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, dict.fromkeys(text.split()))).alias("w")) for f, texts in TEMPLATES.items() for text in texts))
     share = lambda p: F.aggregate(known, F.lit(0.0), lambda s, x: F.greatest(s, F.when(x["family"] == p["family"], F.size(F.array_intersect(x["w"], p["w"])) / F.size(x["w"])).otherwise(0.0)))
-    notices = F.transform("named", lambda p: F.struct(p["i"].cast("long").alias("paragraph"), p["family"].alias("family"), F.round(p["p"], 4).alias("probability"), F.round(share(p), 4).alias("agreement"), (share(p) >= AGREE).alias("confirmed")))
-    return t.select(F.col("id").alias(id_col), "n_paragraphs", notices.alias("notices"))
+    notice = lambda p: F.struct(p["i"].cast("long").alias("paragraph"), p["family"].alias("family"), F.round(p["p"], 4).alias("probability"), F.round(share(p), 4).alias("agreement"), (share(p) >= AGREE).alias("confirmed"), p["run"].alias("run"))
+    t = t.select("id", "n_paragraphs", F.transform("named", notice).alias("found"))
+    t = t.withColumn("settled", F.transform(F.filter("found", lambda x: x["confirmed"] & ~x["run"]), lambda x: x["family"]))
+    listed = F.filter("found", lambda x: ~x["run"] | (x["confirmed"] & ~F.array_contains("settled", x["family"])))
+    notices = F.transform(listed, lambda x: F.struct(*(x[c].alias(c) for c in ("paragraph", "family", "probability", "agreement", "confirmed"))))
+    return t.select(F.col("id").alias(id_col), "n_paragraphs", F.array_sort(notices).alias("notices"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -507,6 +507,18 @@ def test_license_scan(spark, docs, empty):
     got = {r.doc_id: [(x.paragraph, x.family) for x in r.notices if x.confirmed] for r in license_scan.scan(frame(spark, rows)).collect()}
     assert [got[100 + i] for i in range(5)] == [[(1, f)] for f in ("mit", "apache", "gpl", "cc_by_nc", "bsd")]
     assert all(v == [] for k, v in got.items() if not 100 <= k < 105)
+    wrapped = {
+        "mit": "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell",
+        "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n#",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or",
+        "apache": "   Licensed under the Apache License, Version 2.0 (the \"License\");\n   you may not use this file except in compliance with the License.\n",
+        "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above",
+    }
+    more = [(i, f"Some words first.\n\n{t}\n\nSome words last.") for i, t in enumerate(wrapped.values())] * 2
+    again = license_scan.scan(frame(spark, rows[:20] + more), model=license_scan.fit(docs, "text")).where("size(notices) > 0").collect()
+    assert sorted((r.doc_id, {x.family for x in r.notices if x.confirmed}) for r in again) == sorted([(i, {f}) for i, f in enumerate(wrapped)] * 2)
+    long = "word " * 200_000 + "\nReleased under the MIT License.\n" + "x\n" * 5000
+    assert [x.family for x in license_scan.scan(frame(spark, [(1, long)]), model=license_scan.fit(docs, "text")).first().notices if x.confirmed] == ["mit"]
     assert license_scan.scan(empty).count() == 0
 
 
