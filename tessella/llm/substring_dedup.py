@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.store import input_bytes, table
@@ -74,9 +74,10 @@ def _parts(doc: np.ndarray, start: np.ndarray, bits: int) -> Iterator[tuple[int,
         yield int(part[low]), _pack(doc[low:high], start[low:high].astype(np.uint32))
 
 
-def _ids(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    found = batch.column(batch.schema.get_field_index(column)).cast(pa.int64())
-    return found.fill_null(int(_NO_ID)).to_numpy(zero_copy_only=False)
+def _document(id_col: str, text_col: str) -> Column:
+    """The id as a whole number; for a row without one, a number below those of all others that follows from its text."""
+    own = F.lit(int(_NO_ID)) + F.xxhash64(text_col).bitwiseAND(F.lit((1 << 62) - 1))
+    return F.coalesce(F.col(id_col).try_cast("long"), own)
 
 
 def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,8 +87,8 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = _ids(batch, id_col)
-            for low, high, block in blocks(batch, text_col, SETTLED):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for low, high, block in blocks(batch, "text", SETTLED):
                 at, h = block.windows(block.hashes(), window)
                 owner = block.owners()[at]
                 doc, start = ids[low:high][owner], (at - block.first[owner]).astype(np.uint32)
@@ -130,7 +131,7 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_
         low, high = np.r_[0, cuts], np.r_[cuts, len(doc)]
         return pa.table({"id": pa.array(doc[low]), "starts": pa.array([_pack(start[a:b]) for a, b in zip(low, high, strict=True)], pa.binary())})
 
-    found = docs.select(id_col, text_col).mapInArrow(settle, "bucket long, settled boolean, packed binary")
+    found = docs.select(_document(id_col, text_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(settle, "bucket long, settled boolean, packed binary")
     places = found.groupBy("bucket").applyInArrow(gather, "part long, packed binary")
     return places.groupBy("part").applyInArrow(by_document, "id long, starts binary")
 
@@ -138,7 +139,8 @@ def repeated_windows(docs: DataFrame, window: int, id_col: str = "doc_id", text_
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row of ``docs`` as (id, n_words, n_removed, kept_text): its text without the words that a repeated window covers.
 
-    The earliest occurrence (least id, then least start; a null id counts as least) stays.
+    The earliest occurrence (least id, then least start) stays.  Rows without an id come first,
+    in an order that follows from their texts; ids below -2**62 are not told from them.
     Windows are judged on the input, so a passage goes even where it overlaps another that
     goes.  Words are runs of anything but ASCII white space; a null text has none.  Texts of
     fewer than ``window`` words have no window.  Rows that share an id count as one document:
@@ -150,8 +152,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     """
     ship(docs.sparkSession)
     starts = repeated_windows(docs, window, id_col, text_col)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID)))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), key.alias("_key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _document(id_col, text_col).alias("_key"))
     rows = rows.join(starts.withColumnRenamed("id", "_key"), "_key", "left").select("id", "text", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,6 +90,9 @@ def test_equal_rows_do_not_remove_each_other(spark):
     text = " ".join(f"w{i}" for i in range(30))
     got = substring_dedup.remove_repeats(frame(spark, [(1, text), (1, text), (2, text)])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 30)]
+    got = substring_dedup.remove_repeats(frame(spark, [(None, text), (None, text), (None, "more " + text), (-5, text), (None, None)])).collect()
+    removed = sorted((r.n_words, r.n_removed) for r in got if r.doc_id is None)
+    assert [r.n_removed for r in got if r.doc_id == -5] == [30] and removed in ([(0, 0), (30, 0), (30, 0), (31, 30)], [(0, 0), (30, 30), (30, 30), (31, 0)])
 
 
 def shingles(t, lowered=True):
