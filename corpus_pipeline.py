@@ -17,7 +17,7 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep, each row judged by itself; of an empty table none, and a null text goes."""
     return quality.kept_rows(docs, quality.trusted(table(spark, sf_dir, "labels")))
 
 
@@ -30,19 +30,19 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark item contaminates."""
+    """Documents that no benchmark item contaminates; a null text stays, and rows without an id stay.  An id goes with all its rows."""
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("contaminated"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their identifiers replaced; ``n_chars`` is that of the new text."""
+    """All documents, their identifiers replaced; ``n_chars`` is that of the new text.  Null texts stay null."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their places in sequences and their ids."""
+    """The pieces of all documents, with their places in sequences and their ids; a null or empty text is one piece, and equal rows have one each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
