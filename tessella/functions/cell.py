@@ -221,6 +221,13 @@ def _bound(build: Callable[..., Cell], args: tuple) -> Cell:
     return build(*args) if found is None else _known(found["value"], found["error"])
 
 
+def let(body: Callable[..., Column], *columns: Column) -> Column:
+    """``body`` of columns that stand in the expression once, however often it uses them."""
+    names = [f"v{i}" for i in range(len(columns))]
+    named = F.array(F.struct(*(c.alias(n) for c, n in zip(columns, names, strict=True))))
+    return F.get(F.transform(named, lambda s: body(*(s[n] for n in names))), F.lit(0))
+
+
 def _known(value: Column, error: Column) -> Cell:
     """A cell whose value is null on error already."""
     out = Cell(value)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.cell import DIV0, NUM, cell, function, number, raised
+from tessella.functions.cell import DIV0, NUM, cell, function, let, number, raised
 from tessella.functions.date import day, yearfrac_
 from tessella.functions.engineering import vectorised
 
@@ -253,19 +253,24 @@ _bill("TBILLEQ", lambda d, n: F.try_divide(365 * d, 360 - d * n), lambda d: d <=
 # Coupon dates are whole numbers of months before maturity.
 
 
-def _coupon(settlement, maturity, frequency: int):
-    """(settlement, maturity, how many coupons remain, previous coupon date, next one)."""
-    s, m, step = day(cell(settlement).value), day(cell(maturity).value), 12 // frequency
-    rough = F.floor(F.months_between(m, s) / step).cast("int")
-    n = rough + F.when(F.add_months(m, -rough * step) > s, 1).otherwise(0)
-    return s, m, n, F.add_months(m, -n * step), F.add_months(m, -(n - 1) * step)
+def _coupon(settlement, maturity, frequency: int) -> Column:
+    """A struct of settlement s, maturity m, how many coupons remain n, and the previous and the next coupon date."""
+    step = 12 // frequency
+    dates = lambda s, m, n: F.struct(s.alias("s"), m.alias("m"), n.alias("n"), F.add_months(m, -n * step).alias("before"), F.add_months(m, -(n - 1) * step).alias("after"))
+    counted = lambda s, m, rough: let(dates, s, m, rough + F.when(F.add_months(m, -rough * step) > s, 1).otherwise(0))
+    rough = lambda s, m: let(counted, s, m, F.floor(F.months_between(m, s) / step).cast("int"))
+    return let(rough, day(cell(settlement).value), day(cell(maturity).value))
+
+
+def _late(settlement, maturity) -> Column:
+    return day(cell(settlement).value) >= day(cell(maturity).value)
 
 
 def _coupons(name: str, value: Callable[..., Column]) -> None:
     @function(name, low=3, high=4)
     def build(settlement, maturity, frequency: int, basis: int = 0):
-        s, m, n, before, after = _coupon(settlement, maturity, frequency)
-        return raised(value(s, n, before, after, frequency, basis).cast("double"), (s >= m, NUM), over=(cell(settlement), cell(maturity)))
+        out = let(lambda x: value(x["s"], x["n"], x["before"], x["after"], frequency, basis).cast("double"), _coupon(settlement, maturity, frequency))
+        return raised(out, (_late(settlement, maturity), NUM), over=(cell(settlement), cell(maturity)))
 
 
 def _serial(d: Column) -> Column:
@@ -295,44 +300,56 @@ def _bond(rate: Column, y: Column, redemption: Column, n: Column, waited: Column
     return paid + weigh(n - 1 + left) * redemption / F.pow(1 + y / f, n - 1 + left)
 
 
+def _periods(x: Column, frequency: int, basis: int) -> tuple[Column, Column]:
+    """Days since the last coupon date, and days of the coupon's period."""
+    return since(x["before"], x["s"], basis), coupon_days(x["before"], x["after"], frequency, basis)
+
+
+def _priced(n: Column, waited: Column, whole: Column, r: Column, y: Column, red: Column, frequency: int) -> Column:
+    c = 100 * r / frequency
+    one = (red + c) / (1 + (whole - waited) / whole * y / frequency)
+    return F.when(n == 1, one).otherwise(_bond(r, y, red, n, waited, whole, frequency)) - c * waited / whole
+
+
 @function("PRICE", low=6, high=7)
 def price(settlement, maturity, rate_, yield_, redemption, frequency: int, basis: int = 0):
-    s, m, n, before, after = _coupon(settlement, maturity, frequency)
     r, y, red = number(rate_), number(yield_), number(redemption)
-    waited, whole = since(before, s, basis), coupon_days(before, after, frequency, basis)
-    c = 100 * r.value / frequency
-    left = (whole - waited) / whole
-    one = (red.value + c) / (1 + left * y.value / frequency) - c * waited / whole
-    many = _bond(r.value, y.value, red.value, n, waited, whole, frequency) - c * waited / whole
-    return raised(F.when(n == 1, one).otherwise(many), ((s >= m) | (r.value < 0) | (y.value < 0) | (red.value <= 0), NUM), over=(r, y, red))
-
 
-def _yield(r: float, pr: float, red: float, n: float, waited: float, whole: float, f: float) -> float:
-    c, left, n = 100 * r / f, (whole - waited) / whole, int(n)
+    def body(x: Column, r: Column, y: Column, red: Column) -> Column:
+        return let(lambda *v: _priced(*v, frequency), x["n"], *_periods(x, frequency, basis), r, y, red)
 
-    def gap(y: float) -> float:
-        if n == 1:
-            return (red + c) / (1 + left * y / f) - c * waited / whole - pr
-        return sum(c / (1 + y / f) ** (k + left) for k in range(n)) + red / (1 + y / f) ** (n - 1 + left) - c * waited / whole - pr
-
-    return root(gap, r or 0.05)
+    out = let(body, _coupon(settlement, maturity, frequency), r.value, y.value, red.value)
+    return raised(out, (_late(settlement, maturity) | (r.value < 0) | (y.value < 0) | (red.value <= 0), NUM), over=(r, y, red))
 
 
 @function("YIELD", low=6, high=7)
 def yield_(settlement, maturity, rate_, price_, redemption, frequency: int, basis: int = 0):
-    s, m, n, before, after = _coupon(settlement, maturity, frequency)
+    """By Newton's steps from 0: the price falls ever slower with the yield, so they do not pass its root twice."""
     r, p, red = number(rate_), number(price_), number(redemption)
-    out = vectorised(_yield)(r.value, p.value, red.value, n.cast("double"), since(before, s, basis).cast("double"), coupon_days(before, after, frequency, basis).cast("double"), F.lit(float(frequency)))
-    return raised(out, ((s >= m) | (r.value < 0) | (p.value <= 0) | (red.value <= 0) | out.isNull(), NUM), over=(r, p, red))
+
+    def body(x: Column, r: Column, p: Column, red: Column) -> Column:
+        return let(solved, x["n"], *_periods(x, frequency, basis), r, p, red)
+
+    def solved(n: Column, waited: Column, whole: Column, r: Column, p: Column, red: Column) -> Column:
+        gap = lambda y: _priced(n, waited, whole, r, y, red, frequency) - p
+        step = lambda y, _: y - gap(y) * 2e-6 / (gap(y + 1e-6) - gap(y - 1e-6))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(30)), F.lit(0.0), step)
+
+    out = let(body, _coupon(settlement, maturity, frequency), r.value, p.value, red.value)
+    return raised(out, (_late(settlement, maturity) | (r.value < 0) | (p.value <= 0) | (red.value <= 0), NUM), over=(r, p, red))
 
 
 def _duration(modified: bool):
     def build(settlement, maturity, coupon, yield_, frequency: int, basis: int = 0):
-        s, m, n, before, after = _coupon(settlement, maturity, frequency)
         r, y = number(coupon), number(yield_)
-        args = (r.value, y.value, F.lit(100.0), n, since(before, s, basis), coupon_days(before, after, frequency, basis), frequency)
-        out = _bond(*args, weigh=lambda t: t / frequency) / _bond(*args)
-        return raised(out / (1 + y.value / frequency) if modified else out, ((s >= m) | (r.value < 0) | (y.value < 0), NUM), over=(r, y))
+
+        def weighed(n: Column, waited: Column, whole: Column, r: Column, y: Column) -> Column:
+            args = (r, y, F.lit(100.0), n, waited, whole, frequency)
+            out = _bond(*args, weigh=lambda t: t / frequency) / _bond(*args)
+            return out / (1 + y / frequency) if modified else out
+
+        out = let(lambda x, r, y: let(weighed, x["n"], *_periods(x, frequency, basis), r, y), _coupon(settlement, maturity, frequency), r.value, y.value)
+        return raised(out, (_late(settlement, maturity) | (r.value < 0) | (y.value < 0), NUM), over=(r, y))
 
     return build
 
