@@ -140,7 +140,10 @@ def score(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
     """
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     marks = keep(trusted.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("good", F.lit(1)), "trusted")
-    marked = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), lang.alias("lang")).join(sized(marks), "id", "left")
+    # Rows without an id match nothing; where the join shuffles, their texts spread them.
+    salt = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text_col), F.lit(1000)) + 1).otherwise(0)
+    marks = marks.withColumn("salt", F.lit(0).cast("long"))
+    marked = docs.select(F.col(id_col).alias("id"), salt.alias("salt"), F.coalesce(text_col, F.lit("")).alias("text"), lang.alias("lang")).join(sized(marks), ["id", "salt"], "left")
     ratios = ratio_table(marked)
     least = least_scores(marked, ratios, quantile) if ratios.n_good else {}
     # One foldable literal each: the optimiser parses it once.
