@@ -22,8 +22,8 @@ DIV0, VALUE, REF, NUM, NA, CALC = "#DIV/0!", "#VALUE!", "#REF!", "#NUM!", "#N/A"
 class Cell:
     """A value column and an error column (null where there is none)."""
 
-    #: Whether a registered function made it.
-    made = False
+    #: Whether a registered function made it, and both columns as one struct where it came as one.
+    made, whole = False, None
 
     def __init__(self, value: Column, error: Column | None = None) -> None:
         self.error = F.lit(None).cast("string") if error is None else error
@@ -31,7 +31,7 @@ class Cell:
         self.value = value if error is None else F.when(error.isNull(), value)
 
     def struct(self) -> Column:
-        return F.struct(self.value.alias("value"), self.error.alias("error"))
+        return self.whole if self.whole is not None else F.struct(self.value.alias("value"), self.error.alias("error"))
 
     def alias(self, name: str) -> Column:
         """The value, named; null on error."""
@@ -218,7 +218,11 @@ def _bound(build: Callable[..., Cell], args: tuple) -> Cell:
         found = None
     finally:
         inside[0] = before
-    return build(*args) if found is None else _known(found["value"], found["error"])
+    if found is None:
+        return build(*args)
+    out = _known(found["value"], found["error"])
+    out.whole = found
+    return out
 
 
 def let(body: Callable[..., Column], *columns: Column) -> Column:

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns that a sheet has; a field of more items makes no pivot table.
+MOST_ITEMS = 16_384
+
 _AGGREGATES = {"sum": F.sum, "count": F.count, "average": F.avg, "min": F.min, "max": F.max}
 
 
@@ -14,7 +17,8 @@ def pivot(df: DataFrame, rows: list[str], column: str | None, value: str, how: s
     """A row for each combination of ``rows``, a column for each item, and ``total``.
 
     ``page`` filters first.  With ``totals`` a last row, with null row fields, has the grand
-    totals.  Items are found by one distinct of the column field unless they are given.
+    totals.  Items are found by one distinct of the column field unless they are given, in
+    order, empty cells last as ``(blank)``; more than ``MOST_ITEMS`` raise ValueError.
     """
     f = _AGGREGATES[how]
     some = df.where(page) if page is not None else df
@@ -25,13 +29,17 @@ def pivot(df: DataFrame, rows: list[str], column: str | None, value: str, how: s
         level = F.grouping_id()
         return grouped.agg(f(value).alias("total"), level.alias("_g")).where((F.col("_g") == 0) | (F.col("_g") == 2 ** len(rows) - 1)).drop("_g")
     if items is None:
-        items = sorted(r[0] for r in some.select(column).distinct().collect() if r[0] is not None)
-    cells = [f(F.when(F.col(column) == i, F.col(value))).alias(str(i)) for i in items]
+        found = [r[0] for r in some.select(column).distinct().limit(MOST_ITEMS + 1).collect()]
+        if len(found) > MOST_ITEMS:
+            raise ValueError(f"more than {MOST_ITEMS} items of {column}")
+        items = sorted(i for i in found if i is not None) + [None] * (None in found)
+    shown = {i: "(blank)" if i is None else str(i) for i in items}
+    cells = [f(F.when(F.col(column).eqNullSafe(F.lit(i)), F.col(value))).alias(shown[i]) for i in items]
     grouped = (some.rollup(*rows) if totals else some.groupBy(*rows)).agg(*cells, f(value).alias("total"), *([F.grouping_id().alias("_g")] if totals else []))
     if totals:
         grouped = grouped.where((F.col("_g") == 0) | (F.col("_g") == 2 ** len(rows) - 1)).drop("_g")
     if percent_of_row:
-        grouped = grouped.select(*rows, *(F.try_divide(F.col(f"`{i}`"), F.col("total")).alias(str(i)) for i in items), F.lit(1.0).alias("total"))
+        grouped = grouped.select(*rows, *(F.try_divide(F.col(f"`{shown[i]}`"), F.col("total")).alias(shown[i]) for i in items), F.lit(1.0).alias("total"))
     return grouped
 
 

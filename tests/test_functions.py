@@ -67,3 +67,18 @@ def test_irr_of_arrays(spark):
 
 def test_registry_covers_scalar_groups():
     assert len(FUNCTIONS) >= 330
+
+
+def test_comparisons_by_the_order_of_kinds(spark):
+    number, text, flag, empty = cell(F.lit(3.0)), cell(F.lit("a")), cell(F.lit(True)), cell(F.lit(None).cast("double"))
+    made = [number < text, text < flag, number < flag, text == cell(F.lit("A")), cell("B") > text, number >= 3, number != 4, empty == 0, empty == "", empty < text, empty == False, empty <= number, flag > cell(F.lit(False))]  # noqa: E712
+    assert all(spark.range(1).select(*(c.value.alias(f"c{i}") for i, c in enumerate(made))).first())
+    div = cell(F.lit(1.0)) / 0
+    assert spark.range(1).select((div < 1).error).first()[0] == "#DIV/0!"
+
+
+def test_deep_formulas_stay_small(spark):
+    c = cell(F.col("id"))
+    for _ in range(10):
+        c = call("ABS", call("ROUND", c, 2))
+    assert [r.x for r in spark.range(3).select(c.value.alias("x")).collect()] == [0, 1, 2]

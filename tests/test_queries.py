@@ -6,6 +6,7 @@ import math
 import duckdb
 import pytest
 
+from tessella.operators import pivot
 from tessella.plans import function_queries, queries, table_queries  # noqa: F401  these register queries
 from tessella.plans import registry
 
@@ -53,3 +54,10 @@ def test_engineering_functions_of_ids_beyond_dec2bin(spark, duck, tmp_path):
     found = duck.sql(sql)
     assert all(plain(got[r[0]][c]) == plain(v) for r in found.fetchall() for c, v in zip(found.columns, r, strict=True))
     assert sorted((r.dec2bin_error, r.dec2bin, r.dec2hex) for r in got.values() if r.dec2bin is None) == [("#NUM!", None, "200"), ("#NUM!", None, "5DB")]
+
+
+def test_pivot_finds_its_items(spark):
+    df = spark.createDataFrame([("a", "x", 1), ("a", None, 2), ("b", "y", 4)], "k string, c string, v long")
+    got = pivot.pivot(df, ["k"], "c", "v")
+    assert got.columns == ["k", "x", "y", "(blank)", "total"]
+    assert sorted(map(tuple, got.collect()), key=str) == [("a", 1, None, 2, 3), ("b", None, 4, None, 4), (None, 1, 4, 2, 7)]
