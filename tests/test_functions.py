@@ -1,11 +1,14 @@
 """Functions on single values: what they give, and their errors."""
 
 import datetime as dt
+import math
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import tessella.plans.queries  # noqa: F401  registers all functions
+from tessella.functions import engineering
 from tessella.functions.cell import FUNCTIONS, call, cell
 
 D = dt.date
@@ -82,3 +85,24 @@ def test_deep_formulas_stay_small(spark):
     for _ in range(10):
         c = call("ABS", call("ROUND", c, 2))
     assert [r.x for r in spark.range(3).select(c.value.alias("x")).collect()] == [0, 1, 2]
+
+
+def test_equal_rows_of_a_batch_are_computed_once():
+    calls = []
+
+    def f(x, s):
+        calls.append((x, s))
+        return f"{x}{s}"
+
+    x, s = pd.Series([1.5, 0.0, -0.0, 1.5, math.nan] * 1000), pd.Series(["a", None, None, "a", "b"] * 1000)
+    assert engineering.by_distinct(f, x, s)[:5] == ["1.5a", "0.0None", "-0.0None", "1.5a", "nanb"] and len(calls) == 4
+    lists = pd.Series([[1.0], [1.0]])
+    assert engineering.by_distinct(len, lists) == [1, 1] and engineering.by_distinct(f, x[:0], s[:0]) == []
+
+
+def test_bessel_functions_of_many_orders_take_few_calls():
+    # Integrands take all points of a rule at once.
+    seen = []
+    assert engineering._integral(lambda t: (seen.append(1), t * t)[1], 0, 3, 6) == pytest.approx(9) and len(seen) == 1
+    for got, expected in ((engineering._j(1.9, 2), 0.329925727692387), (engineering._j(60.0, 0), -0.09147180408906187), (engineering._i(1.5, 1), 0.981666428577908), (engineering._y(2.5, 1), 0.145918137966786), (engineering._k(1.5, 1), 0.277387800456844)):
+        assert got == pytest.approx(expected, rel=1e-12)
