@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tessella.plans.queries  # noqa: F401  registers all functions
-from tessella.functions import engineering
+from tessella.functions import distributions, engineering
 from tessella.functions.cell import FUNCTIONS, call, cell
 
 D = dt.date
@@ -106,3 +106,17 @@ def test_bessel_functions_of_many_orders_take_few_calls():
     assert engineering._integral(lambda t: (seen.append(1), t * t)[1], 0, 3, 6) == pytest.approx(9) and len(seen) == 1
     for got, expected in ((engineering._j(1.9, 2), 0.329925727692387), (engineering._j(60.0, 0), -0.09147180408906187), (engineering._i(1.5, 1), 0.981666428577908), (engineering._y(2.5, 1), 0.145918137966786), (engineering._k(1.5, 1), 0.277387800456844)):
         assert got == pytest.approx(expected, rel=1e-12)
+
+
+def test_inverses_take_few_calls_and_are_exact_in_the_tails():
+    calls = []
+
+    def slow(x):
+        calls.append(x)
+        return distributions.gamma_lower(1.0, x / 2)
+
+    assert distributions.solve(slow, 0.7, 0.0, 8.0) == pytest.approx(-2 * math.log(0.3), rel=1e-13) and len(calls) < 30
+    assert distributions.solve(lambda x: distributions.gamma_lower(1.0, x), 0.0, 0.0, 8.0) == 0.0
+    assert distributions.solve(lambda x: distributions.gamma_lower(1.0, x), 1 - 2.0**-40, 0.0, 8.0) == pytest.approx(40 * math.log(2), rel=1e-5)
+    for p in (1e-12, 1e-5, 0.3, 0.5, 0.9):
+        assert distributions.t_inv(p, 1) == pytest.approx(-1 / math.tan(math.pi * p), rel=1e-11, abs=1e-15)
