@@ -120,3 +120,8 @@ def test_inverses_take_few_calls_and_are_exact_in_the_tails():
     assert distributions.solve(lambda x: distributions.gamma_lower(1.0, x), 1 - 2.0**-40, 0.0, 8.0) == pytest.approx(40 * math.log(2), rel=1e-5)
     for p in (1e-12, 1e-5, 0.3, 0.5, 0.9):
         assert distributions.t_inv(p, 1) == pytest.approx(-1 / math.tan(math.pi * p), rel=1e-11, abs=1e-15)
+
+
+def test_normal_inverse_reaches_both_tails(spark):
+    row = spark.range(1).select(*(call("NORM.S.INV", p).shown().alias(f"c{i}") for i, p in enumerate((1e-300, 1e-12, 0.5, 0.975, 0.0, 1.0)))).first()
+    assert [float(x) for x in row[:4]] == pytest.approx([-37.0470960, -7.0344838, 0.0, 1.9599640], abs=1e-6) and list(row[4:]) == ["#NUM!", "#NUM!"]
