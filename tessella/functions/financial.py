@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.cell import DIV0, NUM, cell, function, let, number, raised
+from tessella.functions.cell import DIV0, NUM, VALUE, Cell, cell, function, let, number, raised
 from tessella.functions.date import day, yearfrac_
 from tessella.functions.engineering import vectorised
 
@@ -322,18 +322,52 @@ def price(settlement, maturity, rate_, yield_, redemption, frequency: int, basis
     return raised(out, (_late(settlement, maturity) | (r.value < 0) | (y.value < 0) | (red.value <= 0), NUM), over=(r, y, red))
 
 
+#: Newton's steps at most; they end once one is below this.
+_STEPS, _LAST = 60, 1e-15
+
+
+def _yield(n: Column, left: Column, c: Column, red: Column, target: Column) -> Column:
+    """The yield of a period at which ``n`` coupons ``c``, the first after ``left`` periods, and ``red`` are worth ``target``.
+
+    By Newton's steps from 0 for u, the logarithm of a period's growth: the logarithm of the worth falls ever
+    slower with it, so they do not pass the root twice, and it is almost a line, so they are few.
+    """
+
+    def sums(v: Column) -> Column:
+        # By Horner's rule from the last coupon on: the worth, and the sum of worths times their periods.
+        down = lambda a, _: F.struct((c + v * a["worth"]).alias("worth"), (v * (a["times"] + a["worth"])).alias("times"))
+        return F.aggregate(F.sequence(F.lit(2), n), F.struct((c + red).cast("double").alias("worth"), F.lit(0.0).alias("times")), down)
+
+    def move(u: Column, a: Column) -> Column:
+        return F.try_divide(F.ln(a["worth"] / target) - left * u, left + a["times"] / a["worth"])
+
+    moved = lambda u, by: F.struct((u + by).alias("u"), (F.abs(by) < _LAST).alias("done"))
+    step = lambda u: let(moved, u, let(move, u, let(sums, F.exp(-u))))
+    start = F.struct(F.lit(0.0).alias("u"), F.lit(False).alias("done"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_STEPS)), start, lambda s, _: F.when(s["done"], s).otherwise(step(s["u"])), lambda s: F.expm1(s["u"]))
+
+
+def _once(c: Cell) -> Cell:
+    """``c`` as a number, read from one copy of its expression."""
+    seen = let(lambda v: number(v).struct(), c.value)
+    return raised(seen["value"], (seen["error"].isNotNull(), VALUE), over=(c,))
+
+
 @function("YIELD", low=6, high=7)
 def yield_(settlement, maturity, rate_, price_, redemption, frequency: int, basis: int = 0):
-    """By Newton's steps from 0: the price falls ever slower with the yield, so they do not pass its root twice."""
-    r, p, red = number(rate_), number(price_), number(redemption)
+    """In one step where one coupon is left, else by Newton's steps."""
+    r, given, red = number(rate_), cell(price_), number(redemption)
+    # The price may be a long expression: it stands here once.
+    p = _once(given)
 
     def body(x: Column, r: Column, p: Column, red: Column) -> Column:
-        return let(solved, x["n"], *_periods(x, frequency, basis), r, p, red)
+        return let(named, x["n"], *_periods(x, frequency, basis), r, p, red)
 
-    def solved(n: Column, waited: Column, whole: Column, r: Column, p: Column, red: Column) -> Column:
-        gap = lambda y: _priced(n, waited, whole, r, y, red, frequency) - p
-        step = lambda y, _: y - gap(y) * 2e-6 / (gap(y + 1e-6) - gap(y - 1e-6))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(30)), F.lit(0.0), step)
+    def named(n: Column, waited: Column, whole: Column, r: Column, p: Column, red: Column) -> Column:
+        return let(solved, n, (whole - waited) / whole, 100 * r / frequency, red, p + 100 * r / frequency * waited / whole)
+
+    def solved(n: Column, left: Column, c: Column, red: Column, target: Column) -> Column:
+        return F.when(n == 1, F.try_divide(((red + c) / target - 1) * frequency, left)).otherwise(frequency * _yield(n, left, c, red, target))
 
     out = let(body, _coupon(settlement, maturity, frequency), r.value, p.value, red.value)
     return raised(out, (_late(settlement, maturity) | (r.value < 0) | (p.value <= 0) | (red.value <= 0), NUM), over=(r, p, red))
@@ -362,11 +396,13 @@ def _at_maturity(solve_yield: bool):
     def build(settlement, maturity, issue, rate_, x, basis: int = 0):
         s, m, i = (day(cell(d).value) for d in (settlement, maturity, issue))
         r, v = number(rate_), number(x)
-        whole, before, rest = yearfrac_(i, m, basis), yearfrac_(i, s, basis), yearfrac_(s, m, basis)
-        if solve_yield:
-            out = ((1 + whole * r.value) / (v.value / 100 + before * r.value) - 1) / rest
-        else:
-            out = (100 + whole * r.value * 100) / (1 + rest * v.value) - before * r.value * 100
+
+        def priced(whole: Column, before: Column, rest: Column) -> Column:
+            if solve_yield:
+                return ((1 + whole * r.value) / (v.value / 100 + before * r.value) - 1) / rest
+            return (100 + whole * r.value * 100) / (1 + rest * v.value) - before * r.value * 100
+
+        out = let(lambda s, m, i: priced(yearfrac_(i, m, basis), yearfrac_(i, s, basis), yearfrac_(s, m, basis)), s, m, i)
         return raised(out, ((s >= m) | (r.value < 0), NUM), over=(r, v))
 
     return build

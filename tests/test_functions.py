@@ -125,3 +125,14 @@ def test_inverses_take_few_calls_and_are_exact_in_the_tails():
 def test_normal_inverse_reaches_both_tails(spark):
     row = spark.range(1).select(*(call("NORM.S.INV", p).shown().alias(f"c{i}") for i, p in enumerate((1e-300, 1e-12, 0.5, 0.975, 0.0, 1.0)))).first()
     assert [float(x) for x in row[:4]] == pytest.approx([-37.0470960, -7.0344838, 0.0, 1.9599640], abs=1e-6) and list(row[4:]) == ["#NUM!", "#NUM!"]
+
+
+def test_yields_of_any_bond_are_found(spark):
+    # The last has a negative yield, the first one coupon left; steps from 0 on the price itself leave high yields out.
+    rows = [(D(2020, 1, 15), D(2020, 5, 1), 0.06, 0.05), (D(2020, 1, 15), D(2050, 5, 1), 0.06, 2.0), (D(2020, 1, 15), D(2030, 5, 1), 0.0, 1e-9), (D(2020, 1, 15), D(2024, 1, 15), 0.06, 0.5), (D(2020, 1, 31), D(2060, 3, 31), 0.2, 0.03)]
+    df = spark.createDataFrame(rows, "s date, m date, c double, y double")
+    price = call("PRICE", F.col("s"), F.col("m"), F.col("c"), F.col("y"), 100, 2)
+    got = df.select("y", call("YIELD", F.col("s"), F.col("m"), F.col("c"), price.value, 100, 2).value.alias("found")).collect()
+    assert [r.found for r in got] == pytest.approx([r.y for r in got], abs=1e-12)
+    below = df.limit(1).select(call("YIELD", D(2020, 1, 15), D(2024, 1, 15), 0.01, 110, 100, 1).value.alias("y")).first().y
+    assert sum(1 / (1 + below) ** k for k in range(1, 5)) + 100 / (1 + below) ** 4 == pytest.approx(110, rel=1e-12) and below < 0
