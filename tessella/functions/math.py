@@ -194,8 +194,8 @@ def arabic(x):
     upper = F.upper(F.trim(t.value))
     signs = F.split(F.regexp_replace(upper, "^-", ""), "")
     worth = lambda c: F.coalesce(F.element_at(F.create_map(*(F.lit(v) for n, s in _ROMAN if len(s) == 1 for v in (s, n))), c), F.lit(0))
-    total = F.aggregate(F.reverse(signs), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda s, c: F.struct((s["sum"] + F.when(worth(c) < s["last"], -worth(c)).otherwise(worth(c))).alias("sum"), F.greatest(worth(c), s["last"]).alias("last")))["sum"]
-    return raised((F.when(upper.startswith("-"), -total).otherwise(total)).cast("double"), (~upper.rlike("^-?[MDCLXVI]*$"), VALUE), over=(t,))
+    total = F.aggregate(F.reverse(F.transform(signs, worth)), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda s, w: F.struct((s["sum"] + F.when(w < s["last"], -w).otherwise(w)).alias("sum"), F.greatest(w, s["last"]).alias("last")))["sum"]
+    return raised((total * F.when(upper.startswith("-"), -1).otherwise(1)).cast("double"), (~upper.rlike("^-?[MDCLXVI]*$"), VALUE), over=(t,))
 
 
 @function("BASE", low=2, high=3)
@@ -206,7 +206,7 @@ def base(x, radix, length=0):
 
 
 def _to_base(n: Column, radix: Column) -> Column:
-    """Digits from the lowest up, 53 at most."""
+    """Digits of a whole number: by Spark's own where a double holds it exactly, else from the lowest up, 53 at most."""
     r = F.floor(radix)
     signs = F.lit("0123456789abcdefghijklmnopqrstuvwxyz")
     pair = F.aggregate(
@@ -214,7 +214,8 @@ def _to_base(n: Column, radix: Column) -> Column:
         F.struct(n.cast("double").alias("n"), F.lit("").alias("s")),
         lambda s, _: F.when((s["n"] < 1) & (s["s"] != ""), s).otherwise(F.struct(F.floor(s["n"] / r).cast("double").alias("n"), F.concat(F.substr(signs, (s["n"] - r * F.floor(s["n"] / r) + 1).cast("int"), F.lit(1)), s["s"]).alias("s"))),
     )
-    return pair["s"]
+    exact = F.call_function("conv", n.try_cast("bigint").cast("string"), F.lit(10), r.cast("int"))
+    return F.when((n >= 0) & (n < float(2**53)), exact).otherwise(pair["s"])
 
 
 @function("DECIMAL")

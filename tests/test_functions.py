@@ -136,3 +136,8 @@ def test_yields_of_any_bond_are_found(spark):
     assert [r.found for r in got] == pytest.approx([r.y for r in got], abs=1e-12)
     below = df.limit(1).select(call("YIELD", D(2020, 1, 15), D(2024, 1, 15), 0.01, 110, 100, 1).value.alias("y")).first().y
     assert sum(1 / (1 + below) ** k for k in range(1, 5)) + 100 / (1 + below) ** 4 == pytest.approx(110, rel=1e-12) and below < 0
+
+
+def test_digits_of_large_numbers_by_base(spark):
+    made = [call("BASE", 2.0**53 - 1, 2), call("BASE", 2.0**53 - 1, 36), call("BASE", 2.0**53, 16), call("BASE", 0, 7), call("BASE", 5, 1), call("DEC2HEX", -(2.0**39)), call("ARABIC", "-MCDXLIV"), call("ARABIC", "")]
+    assert list(spark.range(1).select(*(c.shown().alias(f"c{i}") for i, c in enumerate(made))).first()) == ["1" * 53, "2GOSA7PA2GV", "20000000000000", "0", "#NUM!", "8000000000", "-1444.0", "0.0"]
