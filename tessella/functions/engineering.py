@@ -5,6 +5,7 @@ from __future__ import annotations
 import cmath
 import math
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -265,23 +266,31 @@ def show_complex(z: complex, suffix: str = "i") -> str:
     return shown if real == 0 else part(real) + ("+" if imag > 0 else "") + shown
 
 
+def _lazily(f: Callable, kind: str = "double") -> Callable:
+    """``vectorised`` on first use, and the same one from then on: Spark computes equal calls of one function once."""
+    return cache(lambda: vectorised(f, kind))
+
+
 def _complex(name: str, f: Callable, high: int = 1) -> None:
+    def shown(*some: str) -> str:
+        return show_complex(f(*map(parse_complex, some)), "j" if any("j" in s for s in some) else "i")
+
+    run = _lazily(shown, "string")
+
     @function(name, low=1, high=high)
     def build(*args):
         cells = [text(a) for a in args]
-
-        def run(*some: str) -> str:
-            return show_complex(f(*map(parse_complex, some)), "j" if any("j" in s for s in some) else "i")
-
-        out = vectorised(run, "string")(*(c.value for c in cells))
+        out = run()(*(c.value for c in cells))
         return raised(out, (out.isNull(), NUM), over=tuple(cells))
 
 
 def _measure(name: str, f: Callable) -> None:
+    run = _lazily(lambda s: float(f(parse_complex(s))))
+
     @function(name, low=1, high=1)
     def build(x):
         c = text(x)
-        out = vectorised(lambda s: float(f(parse_complex(s))))(c.value)
+        out = run()(c.value)
         return raised(out, (out.isNull(), NUM), over=(c,))
 
 
@@ -312,10 +321,13 @@ def impower(x, n):
     return raised(out, (out.isNull(), NUM), over=(c, k))
 
 
+_COMPLEX = {k: _lazily(lambda x, y, k=k: show_complex(complex(x, y), k), "string") for k in ("i", "j")}
+
+
 @function("COMPLEX")
 def complex_(real, imag, suffix: str = "i"):
     a, b = number(real), number(imag)
     if suffix not in ("i", "j"):
         return Cell(F.lit(None).cast("string"), F.lit(VALUE))
-    out = vectorised(lambda x, y: show_complex(complex(x, y), suffix), "string")(a.value, b.value)
+    out = _COMPLEX[suffix]()(a.value, b.value)
     return raised(out, over=(a, b))

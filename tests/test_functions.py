@@ -138,6 +138,16 @@ def test_yields_of_any_bond_are_found(spark):
     assert sum(1 / (1 + below) ** k for k in range(1, 5)) + 100 / (1 + below) ** 4 == pytest.approx(110, rel=1e-12) and below < 0
 
 
+def test_equal_calls_on_complex_numbers_are_one_call(spark, capsys):
+    made = lambda: call("IMEXP", call("COMPLEX", F.col("id"), 1))
+    df = spark.range(2).select(call("IMREAL", made()).value.alias("re"), call("IMAGINARY", made()).value.alias("im"))
+    row = df.collect()[1]
+    assert (row.re, row.im) == (pytest.approx(math.e * math.cos(1)), pytest.approx(math.e * math.sin(1)))
+    df.explain()
+    evaluated = [line for line in capsys.readouterr().out.splitlines() if "ArrowEvalPython" in line]
+    assert sum(line.split("]")[0].count("run(") for line in evaluated) == 4
+
+
 def test_digits_of_large_numbers_by_base(spark):
     made = [call("BASE", 2.0**53 - 1, 2), call("BASE", 2.0**53 - 1, 36), call("BASE", 2.0**53, 16), call("BASE", 0, 7), call("BASE", 5, 1), call("DEC2HEX", -(2.0**39)), call("ARABIC", "-MCDXLIV"), call("ARABIC", "")]
     assert list(spark.range(1).select(*(c.shown().alias(f"c{i}") for i, c in enumerate(made))).first()) == ["1" * 53, "2GOSA7PA2GV", "20000000000000", "0", "#NUM!", "8000000000", "-1444.0", "0.0"]
