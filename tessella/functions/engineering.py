@@ -120,20 +120,29 @@ def _codes(s: pd.Series):
     return codes, len(found)
 
 
-def by_distinct(f: Callable, *columns: pd.Series) -> list:
-    """``f`` of each row of a batch; it is called once for rows that are equal."""
+def _distinct(columns: tuple[pd.Series, ...]):
+    """The number of each row of a batch, equal for equal rows, and the first row of each number; None where values are lists."""
     codes = np.zeros(len(columns[0]), np.int64)
     for s in columns:
         found = _codes(s)
         if found is None:
-            return [f(*row) for row in zip(*columns, strict=True)]
+            return None
         if found[1] > 1:
-            codes = pd.factorize(codes * found[1] + found[0])[0]
+            codes = pd.factorize(codes * found[1] + found[0])[0] if codes.any() else found[0]
     # The last one written to a place is the first row of its number.
     first = np.zeros(codes.max() + 1 if len(codes) else 0, np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    made = [f(*row) for row in zip(*(s.iloc[first].tolist() for s in columns), strict=True)]
-    return [made[i] for i in codes.tolist()]
+    return codes, first
+
+
+def by_distinct(f: Callable, *columns: pd.Series, made: Callable = list):
+    """``f`` of each row of a batch, as ``made`` puts results; it is called once for rows that are equal."""
+    found = _distinct(columns)
+    if found is None:
+        return made([f(*row) for row in zip(*columns, strict=True)])
+    codes, first = found
+    out = made([f(*row) for row in zip(*(s.iloc[first].tolist() for s in columns), strict=True)])
+    return [out[i] for i in codes.tolist()] if made is list else out[codes]
 
 
 def vectorised(f: Callable[..., float], kind: str = "double"):
@@ -150,7 +159,8 @@ def vectorised(f: Callable[..., float], kind: str = "double"):
             except (ValueError, ZeroDivisionError, OverflowError, IndexError):
                 return None
 
-        return pd.Series(by_distinct(one, first, *rest), dtype="object" if kind == "string" else "float64")
+        dtype = "object" if kind == "string" else "float64"
+        return pd.Series(by_distinct(one, first, *rest, made=lambda found: np.array(found, dtype)), dtype=dtype)
 
     def applied(*columns: Column) -> Column:
         if inside[0]:
@@ -160,16 +170,42 @@ def vectorised(f: Callable[..., float], kind: str = "double"):
     return applied
 
 
+def _fixed(x) -> bool:
+    """Whether an argument is a number that all rows share, which need not be sent with each."""
+    return isinstance(x, (int, float)) and not isinstance(x, bool) and math.isfinite(x)
+
+
+def _with(f: Callable[..., float], fixed: dict[int, float]) -> Callable[..., float]:
+    """``f`` of the arguments that are not fixed at their places."""
+    if not fixed:
+        return f
+
+    def rest(*args):
+        every = list(args)
+        for i, x in fixed.items():  # by ascending place
+            every.insert(i, x)
+        return f(*every)
+
+    return rest
+
+
 def computed(*names: str, f: Callable[..., float], low: int, high: int | None = None, defaults: tuple = ()) -> None:
     """Register functions of numbers that no column expression gives; ``#NUM!`` where ``f`` fails."""
-    run = None
+    # One function for the same numbers at the same places, so that Spark computes equal calls once.
+    runs = {}
 
     @function(*names, low=low, high=high or low)
     def build(*args):
-        nonlocal run
-        run = run or vectorised(f)
-        cells = [number(a) for a in (*args, *defaults[len(args) - low :])] if defaults else [number(a) for a in args]
-        out = run(*(c.value for c in cells))
+        if defaults:
+            args = (*args, *defaults[len(args) - low :])
+        fixed = {i: float(a) for i, a in enumerate(args) if _fixed(a)}
+        if len(fixed) == len(args):
+            fixed = {}
+        key = repr(fixed)
+        if key not in runs:
+            runs[key] = vectorised(_with(f, fixed))
+        cells = [number(a) for i, a in enumerate(args) if i not in fixed]
+        out = runs[key](*(c.value for c in cells))
         return raised(out, (out.isNull(), NUM), over=tuple(cells))
 
 

@@ -331,9 +331,9 @@ _ERF = "(2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: (CASE
 @query(f"""SELECT l_orderkey, l_linenumber, round(0.5 + 0.5 * {_ERF.format(z="((l_quantity - 25) / 10 / sqrt(2))")}, 9) normal, round(1 - sin(a) * (1 + cos(a) ** 2 / 2 + cos(a) ** 4 * 3 / 8 + cos(a) ** 6 * 5 / 16), 9) t,
     round(exp(-l_quantity / 2) * list_sum(list_transform(range(0, 10), lambda k: pow(l_quantity / 2, k) / gamma(k + 1))), 9) chisq, round(exp(-3) * list_sum(list_transform(range(0, l_linenumber + 1), lambda k: pow(3, k) / gamma(k + 1))), 9) poisson, round({_ERF.format(z="(l_quantity / 50)")}, 9) erf FROM (SELECT *, atan(l_quantity / 10 / sqrt(8)) a FROM lineitem)""")
 def distribution_functions(spark, d):
-    q = F.col("l_quantity")
+    t, q = table(spark, d, "lineitem"), F.col("l_quantity")  # the table first: it ships the package that Python functions need
     made = {"normal": call("NORM.DIST", q, 25, 10, 1), "t": call("T.DIST.2T", q / 10, 8), "chisq": call("CHISQ.DIST.RT", q, 20), "poisson": call("POISSON.DIST", F.col("l_linenumber"), 3, 1), "erf": call("ERF", q / 50)}
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *(r2(c.value, 9).alias(k) for k, c in made.items()))
+    return t.select("l_orderkey", "l_linenumber", *(r2(c.value, 9).alias(k) for k, c in made.items()))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN '#DIV/0!' WHEN l_tax > 0.05 THEN '#N/A' ELSE (l_quantity / (l_linenumber - 2) + l_tax)::VARCHAR END shown, CASE WHEN l_linenumber = 2 THEN 2.0::DOUBLE WHEN l_tax > 0.05 THEN 7.0::DOUBLE END kind, l_tax > 0.05 isna FROM lineitem""")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import tessella.plans.queries  # noqa: F401  registers all functions
 from tessella.functions import distributions, engineering
 from tessella.functions.cell import FUNCTIONS, call, cell
+from tessella.plans import queries
 
 D = dt.date
 CASES = [
@@ -148,6 +149,40 @@ def test_equal_calls_on_complex_numbers_are_one_call(spark, capsys):
     assert sum(line.split("]")[0].count("run(") for line in evaluated) == 4
 
 
+def test_numbers_that_all_rows_share_are_not_sent_with_each(spark, capsys):
+    made = [call("NORM.DIST", F.col("id"), 25, 10, 1), call("T.DIST.2T", F.col("id") / 10, 8), call("CHISQ.DIST.RT", F.col("id"), 20), call("POISSON.DIST", F.col("id"), 3, 1), call("BETA.DIST", 2, F.col("id") + 7, 10, 1, 1, 3)]
+    df = spark.range(2).select(*(c.value.alias(f"c{i}") for i, c in enumerate(made)))
+    a = math.atan(0.1 / math.sqrt(8))
+    t = 1 - math.sin(a) * (1 + math.cos(a) ** 2 / 2 + math.cos(a) ** 4 * 3 / 8 + math.cos(a) ** 6 * 5 / 16)
+    assert list(df.collect()[1]) == pytest.approx([0.5 * math.erfc(2.4 / math.sqrt(2)), t, 1 - distributions.gamma_lower(10.0, 0.5), 4 * math.exp(-3), 0.685470581], abs=1e-9)
+    df.explain("extended")
+    evaluated = [line for line in capsys.readouterr().out.splitlines() if "ArrowEvalPython" in line]
+    assert evaluated and not [line for line in evaluated if any(f", {x}" in line for x in ("25.0", "8.0", "20.0", "3.0"))]
+
+
+def test_shared_numbers_keep_their_places_signs_and_errors(spark):
+    zero = [engineering.vectorised(engineering._with(math.atan2, {1: x}))(F.col("id").cast("double")) for x in (0.0, -0.0)]
+    engineering.computed("TEST.ATAN2", f=math.atan2, low=2)
+    try:
+        zero += [call("TEST.ATAN2", F.col("id"), x).value for x in (0.0, -0.0)]
+    finally:
+        del FUNCTIONS["TEST.ATAN2"]
+    made = [call("NORM.DIST", F.col("id"), 0, -1, 1), call("NORM.DIST", F.col("id"), math.nan, 1, 1), call("NORM.DIST", 3, F.col("id"), 1, True), call("NORM.DIST", 0, 0, 1, 1), call("BETADIST", F.col("id") + 0.25, 1, 1), call("NORM.DIST", call("NA"), 0, 1, 1)]
+    row = spark.range(1).select(*zero, *(c.shown() for c in made)).first()
+    assert list(row[:4]) == [0.0, math.pi, 0.0, math.pi]
+    assert row[4:6] == ("#NUM!", "#NUM!") and [float(x) for x in row[6:9]] == pytest.approx([0.998650102, 0.5, 0.25]) and row[9] == "#N/A"
+
+
+def test_distribution_functions_ship_the_package_first(monkeypatch):
+    # A Python function knows the files that were shipped before it was first used.
+    used = []
+    monkeypatch.setattr(queries, "call", lambda *args: used.append("call"))
+    monkeypatch.setattr(queries, "table", lambda *args: used.append("table"))
+    with pytest.raises(AttributeError):
+        queries.distribution_functions(None, "")
+    assert used[:2] == ["table", "call"]
+
+
 def test_digits_of_large_numbers_by_base(spark):
     made = [call("BASE", 2.0**53 - 1, 2), call("BASE", 2.0**53 - 1, 36), call("BASE", 2.0**53, 16), call("BASE", 0, 7), call("BASE", 5, 1), call("DEC2HEX", -(2.0**39)), call("ARABIC", "-MCDXLIV"), call("ARABIC", "")]
     assert list(spark.range(1).select(*(c.shown().alias(f"c{i}") for i, c in enumerate(made))).first()) == ["1" * 53, "2GOSA7PA2GV", "20000000000000", "0", "#NUM!", "8000000000", "-1444.0", "0.0"]
